@@ -282,7 +282,7 @@ FROM (SELECT c.scan_id, c.pos, c.name, o.opt_pos, o.opt,
     "f_scans": """
 SELECT o_orderkey AS scan_id, o_orderpriority AS template_id, o_custkey % 20 AS job_id,
        ROW_NUMBER() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS seq,
-       CONCAT('batch/S', LPAD(CAST(o_orderkey AS VARCHAR), GREATEST(6, LENGTH(CAST(o_orderkey AS VARCHAR))), '0'), '.jpg') AS file_name,
+       CONCAT('batch/S', LPAD(CAST(o_orderkey AS VARCHAR), CAST(GREATEST(6, LENGTH(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0'), '.jpg') AS file_name,
        CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'needs_review' ELSE 'error' END AS status,
        o_totalprice AS score, o_orderdate AS created_at,
        CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS primary_key,
@@ -322,7 +322,7 @@ SELECT event_id AS id, event_id % 1500 AS scan_id, CONCAT('u', CAST(user_id % 6
        CASE WHEN event_type = 'purchase' AND value > 50 THEN 'approved'
             WHEN event_type = 'purchase' THEN 'verified' WHEN event_type = 'click' THEN 'correction'
             WHEN event_type = 'error' THEN 'returned' WHEN event_type = 'view' THEN 'scanned'
-            ELSE 'assigned' END AS action, ts AS at FROM events""",
+            ELSE 'assigned' END AS action, ts AS "at" FROM events""",
     "f_assign": """
 SELECT scan_id, CONCAT('u', CAST(scan_id % 6 AS VARCHAR)) AS reviewer, template_id, job_id
 FROM f_scans WHERE scan_id % 3 <> 1""",
