@@ -322,7 +322,7 @@ SELECT event_id AS id, event_id % 1500 AS scan_id, CONCAT('u', CAST(user_id % 6
        CASE WHEN event_type = 'purchase' AND value > 50 THEN 'approved'
             WHEN event_type = 'purchase' THEN 'verified' WHEN event_type = 'click' THEN 'correction'
             WHEN event_type = 'error' THEN 'returned' WHEN event_type = 'view' THEN 'scanned'
-            ELSE 'assigned' END AS action, ts AS "at" FROM events""",
+            ELSE 'assigned' END AS action, ts AS happened FROM events""",
     "f_assign": """
 SELECT scan_id, CONCAT('u', CAST(scan_id % 6 AS VARCHAR)) AS reviewer, template_id, job_id
 FROM f_scans WHERE scan_id % 3 <> 1""",

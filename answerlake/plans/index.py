@@ -175,11 +175,11 @@ def _(t):
     return placed.join(own, "scan_id", "left")
 
 
-_ACT = """SELECT scan_id, MAX("at") FILTER (action IN ('correction', 'verified')) AS changed_at, COUNT(*) FILTER (action IN ('correction', 'verified')) AS changes,
+_ACT = """SELECT scan_id, MAX(happened) FILTER (action IN ('correction', 'verified')) AS changed_at, COUNT(*) FILTER (action IN ('correction', 'verified')) AS changes,
   STRING_AGG(DISTINCT reviewer, ',' ORDER BY reviewer) FILTER (action IN ('correction', 'verified')) AS users,
   STRING_AGG(DISTINCT action, ',' ORDER BY action) FILTER (action IN ('correction', 'verified')) AS actions,
-  MAX(id) FILTER (action IN ('correction', 'verified')) AS last_change, MAX("at") FILTER (action = 'verified') AS verified_at,
-  MAX(id) FILTER (action = 'approved') AS approved_id, MAX("at") FILTER (action = 'approved') AS approved_at FROM f_activity GROUP BY scan_id"""
+  MAX(id) FILTER (action IN ('correction', 'verified')) AS last_change, MAX(happened) FILTER (action = 'verified') AS verified_at,
+  MAX(id) FILTER (action = 'approved') AS approved_id, MAX(happened) FILTER (action = 'approved') AS approved_at FROM f_activity GROUP BY scan_id"""
 
 
 def _changed(t, checked):
@@ -211,7 +211,7 @@ def _(t):
     return _changed(t, False).select("scan_id", micros("changed_at").alias("changed_us"), "changes", "users", "actions")
 
 
-@query("jn_last_active", "SELECT reviewer, EPOCH_US(MAX("at")) AS last_us FROM f_activity WHERE action NOT IN ('assigned', 'scanned') GROUP BY 1")
+@query("jn_last_active", "SELECT reviewer, EPOCH_US(MAX(happened)) AS last_us FROM f_activity WHERE action NOT IN ('assigned', 'scanned') GROUP BY 1")
 def _(t):
     return listing.last_active(t.activity).select("reviewer", micros("last_active").alias("last_us"))
 
@@ -225,7 +225,7 @@ def _(t):
     "ag_assignment_summary",
     f"""SELECT a.reviewer, COUNT(*) AS assigned, COUNT(*) FILTER ({OPEN}) AS to_review, COUNT(*) FILTER (verified = 0 AND NOT {OPEN}) AS reviewed,
        COUNT(*) FILTER (verified = 1) AS verified, COUNT(*) FILTER (approved = 1) AS approved, COUNT(r.scan_id) AS sent_back,
-       (SELECT EPOCH_US(MAX("at")) FROM f_activity v WHERE v.reviewer = a.reviewer AND action NOT IN ('assigned', 'scanned')) AS last_us
+       (SELECT EPOCH_US(MAX(happened)) FROM f_activity v WHERE v.reviewer = a.reviewer AND action NOT IN ('assigned', 'scanned')) AS last_us
        FROM f_assign a JOIN f_scans s ON s.scan_id = a.scan_id LEFT JOIN (SELECT DISTINCT scan_id FROM f_activity WHERE action = 'returned') r ON r.scan_id = s.scan_id
        GROUP BY a.reviewer""",
 )
@@ -410,7 +410,7 @@ def _(t):
     return listing.last_n(t.activity, "scan_id", [F.desc("id")], 3).select("scan_id", "id", "action")
 
 
-@query("rv_activity", "SELECT reviewer, action, COUNT(*) AS n, EPOCH_US(MIN("at")) AS first_us, EPOCH_US(MAX("at")) AS last_us FROM f_activity GROUP BY 1, 2")
+@query("rv_activity", "SELECT reviewer, action, COUNT(*) AS n, EPOCH_US(MIN(happened)) AS first_us, EPOCH_US(MAX(happened)) AS last_us FROM f_activity GROUP BY 1, 2")
 def _(t):
     return (
         t.activity.groupBy("reviewer", "action")
