@@ -1,6 +1,6 @@
 """Every registered query; importing a plan module registers its queries."""
 
-from answerlake.plans import grading, index, scalars  # noqa: F401
+from answerlake.plans import decoding, grading, index, scalars  # noqa: F401
 from answerlake.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
