@@ -63,98 +63,102 @@ class FieldRules:
     review_flags: Sequence[str] = FIELD_REVIEW_FLAGS
 
 
-def largest_gap(values: Column, stride: int, min_jump: float, default: float | Column) -> Column:
-    """struct<jump, threshold> of the first largest rise over `stride` sorted places."""
-    n = F.size(values)
-    starts = F.when(n > stride, F.sequence(F.lit(0), n - stride - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
+def add_gap(df: DataFrame, values: str, stride: int, min_jump: float, default: float, out: str):
+    """Add `out`, a struct<jump, threshold> of the first largest rise over `stride` sorted places.
+
+    Each step is a column of its own, so nothing is evaluated twice.
+    """
+    v = F.col(values)
+    starts = F.when(
+        F.size(v) > stride, F.sequence(F.lit(0), F.size(v) - stride - 1)
+    ).otherwise(F.array().cast("array<int>"))
 
     def rise(i: Column) -> Column:
-        low = F.get(values, i)
-        jump = F.get(values, i + stride) - low
+        low, jump = F.get(v, i), F.get(v, i + stride) - F.get(v, i)
         return F.struct(
             jump.alias("jump"), (-i).alias("first"), (low + jump / 2).alias("threshold")
         )
 
-    best = F.array_max(F.transform(starts, rise))
-    default = default if isinstance(default, Column) else F.lit(default)
-    clear = F.coalesce(best["jump"] > min_jump, F.lit(False))
-    return F.struct(
-        F.when(clear, best["jump"]).otherwise(F.lit(min_jump)).alias("jump"),
-        F.when(clear, best["threshold"]).otherwise(default).alias("threshold"),
+    best = F.col("_best")
+    clear = best["jump"] > min_jump
+    return (
+        df.withColumn("_best", F.array_max(F.transform(starts, rise)))
+        .withColumn(
+            out,
+            F.struct(
+                F.when(clear, best["jump"]).otherwise(F.lit(min_jump)).alias("jump"),
+                F.when(clear, best["threshold"]).otherwise(F.lit(default)).alias("threshold"),
+            ),
+        )
+        .drop("_best")
     )
 
 
-def otsu(values: Column, separation: float) -> Column:
-    """Two-class split of sorted values; null when the class means are too close."""
-    n = F.size(values).cast("double")
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    start = F.struct(
-        F.lit(0.0).alias("i"),
-        F.lit(0.0).alias("s"),
-        F.lit(-1.0).alias("best"),
-        F.lit(0.0).alias("at"),
-        F.lit(0.0).alias("left"),
-    )
+def add_otsu(df: DataFrame, values: str, separation: float, out: str) -> DataFrame:
+    """Add `out`, the two-class split of sorted values; null when the means are too close."""
+    v, total = F.col(values), F.col("_total")
+    n = F.size(v).cast("double")
+    none = F.struct(F.lit(-1.0).alias("score"), F.lit(0.0).alias("back"), F.lit(0.0).alias("left"))
+    start = F.struct(F.lit(0.0).alias("i"), F.lit(0.0).alias("s"), none.alias("best"))
 
-    def step(acc: Column, v: Column) -> Column:
+    def step(acc: Column, value: Column) -> Column:
         i, s = acc["i"], acc["s"]
-        gap = s / i - (total - s) / (n - i)
+        weight = (i / n) * ((n - i) / n)
+        gap = F.try_divide(s, i) - (total - s) / (n - i)
         # Rounded so that float noise cannot break a tie: the first split wins
-        score = F.when(i > 0, F.round((i / n) * ((n - i) / n) * gap * gap, 6)).otherwise(-1.0)
-        better = score > acc["best"]
+        score = F.coalesce(F.round(weight * gap * gap, 6), F.lit(-1.0))
+        split = F.struct(score.alias("score"), (-i).alias("back"), s.alias("left"))
         return F.struct(
-            (i + 1).alias("i"),
-            (s + v).alias("s"),
-            F.when(better, score).otherwise(acc["best"]).alias("best"),
-            F.when(better, i).otherwise(acc["at"]).alias("at"),
-            F.when(better, s).otherwise(acc["left"]).alias("left"),
+            (i + 1).alias("i"), (s + value).alias("s"), F.greatest(acc["best"], split).alias("best")
         )
 
-    end = F.aggregate(values, start, step)
-    at = end["at"]
-    apart = (total - end["left"]) / (n - at) - end["left"] / at
-    middle = (F.get(values, at.cast("int") - 1) + F.get(values, at.cast("int"))) / 2
-    return F.when((at > 0) & (apart >= separation), middle)
+    at, left = -F.col("_split.back"), F.col("_split.left")
+    apart = (total - left) / (n - at) - F.try_divide(left, at)
+    middle = (F.get(v, at.cast("int") - 1) + F.get(v, at.cast("int"))) / 2
+    return (
+        df.withColumn("_total", F.aggregate(v, F.lit(0.0), lambda s, x: s + x))
+        .withColumn("_split", F.aggregate(v, start, step)["best"])
+        .withColumn(out, F.when((at > 0) & (apart >= separation), middle))
+        .drop("_total", "_split")
+    )
 
 
-def global_threshold(values: Column, looseness: int, p: Thresholds = Thresholds()) -> Column:
-    """Sheet-wide threshold of sorted values: largest gap, else a clear two-class split,
-    else the page type's default."""
+def add_global_threshold(
+    df: DataFrame, values: str, looseness: int, out: str, p: Thresholds = Thresholds()
+) -> DataFrame:
+    """Add the sheet-wide threshold of sorted values: largest gap, else a clear two-class
+    split, else the page type's default."""
     stride = 2 * ((looseness + 1) // 2)
-    gap = largest_gap(values, stride, p.min_jump, PAGE_DEFAULT[p.page])
-    split = F.when(F.size(values) >= 4, otsu(values, p.otsu_separation))
-    return F.when(gap["jump"] > p.min_jump, gap["threshold"]).otherwise(
-        F.coalesce(split, gap["threshold"])
-    )
+    df = add_gap(df, values, stride, p.min_jump, PAGE_DEFAULT[p.page], "_gap")
+    df = add_otsu(df, values, p.otsu_separation, "_otsu")
+    split = F.when(F.size(values) >= 4, F.col("_otsu"))
+    found = F.when(F.col("_gap.jump") > p.min_jump, F.col("_gap.threshold"))
+    return df.withColumn(out, F.coalesce(found, split, F.col("_gap.threshold"))).drop("_gap", "_otsu")
 
 
-def local_threshold(
-    values: Column, page: Column, no_outliers: Column, p: Thresholds = Thresholds()
-) -> Column:
-    """struct<threshold, low_confidence> of one field's sorted intensities."""
-    gap = largest_gap(values, 2, p.min_jump, NO_JUMP)
-    unsure = gap["jump"] < p.min_jump + p.confident_surplus
-    spread = F.array_max(values) - F.array_min(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
-    few = F.size(values) < 3
+def add_local_threshold(
+    df: DataFrame, values: str, page: str, no_outliers: Column, p: Thresholds = Thresholds()
+) -> DataFrame:
+    """Add threshold and low_confidence of one field's sorted intensities."""
+    df = add_gap(df, values, 2, p.min_jump, NO_JUMP, "_gap").withColumn("_flat", no_outliers)
+    v = F.col(values)
+    unsure = F.col("_gap.jump") < p.min_jump + p.confident_surplus
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    few = F.size(v) < 3
     threshold = (
-        F.when(few & (spread < p.min_gap), page)
+        F.when(few & (F.array_max(v) - F.array_min(v) < p.min_gap), F.col(page))
         .when(few, mean)
-        .when(unsure & no_outliers, page)
-        .otherwise(gap["threshold"])
-    )
-    return F.struct(
-        threshold.alias("threshold"), (~few & unsure & ~no_outliers).alias("low_confidence")
+        .when(unsure & F.col("_flat"), F.col(page))
+        .otherwise(F.col("_gap.threshold"))
     )
+    low = ~few & unsure & ~F.col("_flat")
+    return df.withColumns({"threshold": threshold, "low_confidence": low}).drop("_gap", "_flat")
 
 
 def sheet_thresholds(bubbles: DataFrame, p: Thresholds = Thresholds()) -> DataFrame:
     """One row per field with its std, both sheet thresholds and its own threshold.
 
-    bubbles(scan_id, name, pos, mean_intensity). Two aggregations, the second reusing the
-    first one's partitioning by sheet.
+    bubbles(scan_id, name, mean_intensity). Two aggregations over one shuffle by sheet.
     """
     strips = (
         bubbles.repartition("scan_id")
@@ -167,19 +171,13 @@ def sheet_thresholds(bubbles: DataFrame, p: Thresholds = Thresholds()) -> DataFr
     sheets = strips.groupBy("scan_id").agg(
         F.collect_list(F.struct("name", "strip", "std")).alias("fields")
     )
-    sheets = sheets.select(
-        "scan_id",
-        "fields",
-        global_threshold(F.array_sort(F.flatten(F.col("fields.strip"))), 4, p).alias("page_threshold"),
-        global_threshold(F.array_sort(F.col("fields.std")), 1, p).alias("std_threshold"),
-    )
+    sheets = sheets.withColumn("_all", F.array_sort(F.flatten(F.col("fields.strip"))))
+    sheets = add_global_threshold(sheets, "_all", 4, "page_threshold", p)
+    sheets = sheets.withColumn("_std", F.array_sort(F.col("fields.std")))
+    sheets = add_global_threshold(sheets, "_std", 1, "std_threshold", p)
     fields = sheets.select("scan_id", "page_threshold", "std_threshold", F.inline("fields"))
-    own = local_threshold(
-        F.col("strip"), F.col("page_threshold"), F.col("std") < F.col("std_threshold"), p
-    )
-    return fields.select(
-        "scan_id", "name", "std", "page_threshold", "std_threshold", F.inline(F.array(own))
-    )
+    flat = F.col("std") < F.col("std_threshold")
+    return add_local_threshold(fields, "strip", "page_threshold", flat, p).drop("strip")
 
 
 def _clip(value: Column) -> Column:
@@ -363,9 +361,10 @@ def vote(reads: DataFrame, pattern: str, min_confidence: float = 0.6) -> DataFra
     )
     used = F.filter("reads", lambda r: ~F.col("sure") | (r["first"] == -1))
     texts = F.array_distinct(
-        F.transform(F.filter(used, lambda r: r["filled"]), lambda r: r["flat"])
+        F.transform(F.filter("used", lambda r: r["filled"]), lambda r: r["flat"])
     )
-    best = F.array_max(used)
+    best = F.col("best")
+    zones = zones.withColumn("used", used).withColumn("best", F.array_max("used"))
     return zones.select(
         "scan_id",
         "name",

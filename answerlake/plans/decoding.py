@@ -83,12 +83,12 @@ def _gap_sql(keys: str, stride: int, default: float) -> str:
 @query("wn_local_gap", _gap_sql("scan_id, name", 2, 255.0))
 def _(t):
     strips = t.bubbles.groupBy("scan_id", "name").agg(F.array_sort(F.collect_list("mean_intensity")).alias("v"))
-    return strips.select("scan_id", "name", F.inline(F.array(decode.largest_gap(F.col("v"), 2, 25.0, 255.0))))
+    return decode.add_gap(strips, "v", 2, 25.0, 255.0, "gap").select("scan_id", "name", "gap.*")
 
 
 @query("wn_global_gap", _gap_sql("scan_id", 4, 200.0))
 def _(t):
-    return _sheet_values(t).select("scan_id", F.inline(F.array(decode.largest_gap(F.col("v"), 4, 25.0, 200.0))))
+    return decode.add_gap(_sheet_values(t), "v", 4, 25.0, 200.0, "gap").select("scan_id", "gap.*")
 
 
 @query(
@@ -100,7 +100,7 @@ def _(t):
    FROM f_bubbles WINDOW w AS (PARTITION BY scan_id ORDER BY mean_intensity)) a WHERE i < n) b WHERE rn = 1""",
 )
 def _(t):
-    return _sheet_values(t).select("scan_id", decode.otsu(F.col("v"), 30.0).alias("threshold"))
+    return decode.add_otsu(_sheet_values(t), "v", 30.0, "threshold").drop("v")
 
 
 @query("dc_mark_adaptive", "SELECT scan_id, name, opt, marked, confidence FROM f_marked")
