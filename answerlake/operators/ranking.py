@@ -127,3 +127,45 @@ def tile(number: Column, total: Column, parts: int) -> Column:
     return F.when(number <= cut, F.ceil(number / (base + 1))).otherwise(
         extra + F.ceil((number - cut) / F.greatest(base, F.lit(1)))
     ).cast("int")
+
+
+def quantiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles per group as columns, with count, mean and max.
+
+    Equal values are counted first, then the distinct values are ranked in ranges, so neither
+    a frequent value nor a large group lands in one task.
+    """
+    hist = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    ranged = _ranged(hist, F.col("_v"))
+    keys = [*group, "_range"]
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    offsets = (
+        ranged.groupBy(*keys)
+        .agg(F.sum("_n").alias("_m"))
+        .select(
+            *keys,
+            F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"),
+            F.sum("_m").over(whole).alias("_all"),
+        )
+    )
+    place = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _join_ranges(ranged.withColumn("_upto", F.sum("_n").over(place)), offsets, keys)
+    upto, last = F.col("_upto") + F.col("_before"), F.col("_all") - 1
+
+    def at(share: float, side) -> Column:
+        return F.min(F.when(upto > side(last * share), F.col("_v")))
+
+    out = rows.groupBy(*group).agg(
+        F.max("_all").alias("count"),
+        (F.sum(F.col("_v") * F.col("_n")) / F.max("_all")).alias("mean"),
+        F.max("_v").alias("max"),
+        *[at(q, F.floor).alias(f"_lo_{name}") for name, q in shares.items()],
+        *[at(q, F.ceil).alias(f"_hi_{name}") for name, q in shares.items()],
+    )
+    for name, q in shares.items():
+        low, high, exact = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), (F.col("count") - 1) * q
+        out = out.withColumn(name, low + (high - low) * (exact - F.floor(exact)))
+    return out.drop(*[c for c in out.columns if c.startswith(("_lo_", "_hi_"))])
