@@ -1,6 +1,6 @@
 """Every registered query; importing a plan module registers its queries."""
 
-from answerlake.plans import accuracy, decoding, grading, index, reconcile, scalars  # noqa: F401
+from answerlake.plans import accuracy, decoding, grading, index, reconcile, ruling, scalars  # noqa: F401
 from answerlake.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
