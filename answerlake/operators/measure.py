@@ -21,6 +21,31 @@ def _ellipse(h: int, w: int) -> np.ndarray:
     return ((x - (w - 1) / 2) / (w / 2)) ** 2 + ((y - (h - 1) / 2) / (h / 2)) ** 2 <= 1.0
 
 
+def _one_box(scan_ids: pd.Series, stack: np.ndarray, box: Box, dark: float) -> pd.DataFrame:
+    """One bubble on all pages of a batch at once; the part off the page is left out."""
+    name, place, value, x, y, w, h = box
+    n, page_h, page_w = stack.shape
+    x1, y1 = min(x + w, page_w), min(y + h, page_h)
+    roi = stack[:, max(y, 0) : max(y1, 0), max(x, 0) : max(x1, 0)]
+    mean, fill = np.full(n, 255.0), np.zeros(n)
+    if roi.size:
+        inner = roi[:, _ellipse(*roi.shape[1:])]
+        mean = np.round(roi.mean(axis=(1, 2)), 2)
+        fill = np.round((inner < dark).mean(axis=1), 3) if inner.size else fill
+    off = x < 0 or y < 0 or x + w > page_w or y + h > page_h
+    return pd.DataFrame(
+        {
+            "scan_id": scan_ids.to_numpy(),
+            "name": name,
+            "opt_pos": place,
+            "opt": value,
+            "mean_intensity": mean,
+            "fill_ratio": fill,
+            "out_of_page": off,
+        }
+    )
+
+
 def measure(pages: DataFrame, boxes: Sequence[Box], dark: float) -> DataFrame:
     """Mean intensity, filled share of the inner ellipse and off-page flag of every bubble.
 
@@ -29,28 +54,9 @@ def measure(pages: DataFrame, boxes: Sequence[Box], dark: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                page = _raster(row)
-                for name, place, value, x, y, w, h in boxes:
-                    roi = page[max(y, 0) : y + h, max(x, 0) : x + w] if x + w > 0 and y + h > 0 else page[:0]
-                    on_page = x >= 0 and y >= 0 and x + w <= row.width and y + h <= row.height
-                    inner = roi[_ellipse(*roi.shape)] if roi.size else roi.ravel()
-                    out.append(
-                        (
-                            row.scan_id,
-                            name,
-                            place,
-                            value,
-                            round(float(roi.mean()), 2) if roi.size else 255.0,
-                            round(float((inner < dark).mean()), 3) if inner.size else 0.0,
-                            not on_page,
-                        )
-                    )
-            yield pd.DataFrame(
-                out,
-                columns=["scan_id", "name", "opt_pos", "opt", "mean_intensity", "fill_ratio", "out_of_page"],
-            )
+            for (w, h), part in batch.groupby(["width", "height"]):
+                stack = np.frombuffer(b"".join(part["pixels"]), np.uint8).reshape(len(part), h, w)
+                yield pd.concat([_one_box(part["scan_id"], stack, box, dark) for box in boxes])
 
     return pages.select("scan_id", "width", "height", "pixels").mapInPandas(
         run,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._once: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame several parts of one query read, built once."""
+        if name not in self._once:
+            self._once[name] = build()
+        return self._once[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -42,7 +50,8 @@ class Tables:
             .groupBy(F.col("l_orderkey").alias("scan_id"), F.col("l_linenumber").alias("pos"))
             .agg(
                 F.min("l_quantity").alias("qty"),
-                F.min("l_returnflag").alias("letter"),
+                # One-letter flags as numbers: a fixed-width buffer keeps the aggregation hashed
+                F.char(F.min(F.ascii("l_returnflag"))).alias("letter"),
                 F.round(F.max("l_discount") * 100).cast("int").alias("disc"),
                 F.round(F.max("l_tax") * 100).cast("int").alias("tax"),
             )

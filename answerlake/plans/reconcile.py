@@ -11,6 +11,7 @@ from answerlake.plans.derived import VIEWS, Tables
 from answerlake.plans.index import micros
 from answerlake.plans.registry import query
 from answerlake.plans.scalars import BANDS
+from answerlake.session import hand_over
 
 NAMES = [f"q{i}" for i in range(1, 8)]
 
@@ -35,18 +36,37 @@ def external(t: Tables):
     return t.external.withColumn("row_id", F.concat_ws("#", "seq_key", F.col("copy").cast("string")))
 
 
+def ext_rows(t: Tables):
+    """The other file's rows, written once: they are read for the join and for both leftovers."""
+    return t.once("ext_rows", lambda: hand_over(compare.external_rows(external(t)), "ext-rows"))
+
+
 def states(t: Tables):
-    return compare.sheet_states(compare.our_keys(t.scans), compare.external_rows(external(t)))
+    return t.once("states", lambda: compare.sheet_states(compare.our_keys(t.scans), ext_rows(t)))
 
 
 def fields(t: Tables, rules=vl.CompareRules(), **options):
     return compare.side_by_side(states(t), external(t), t.cells, rules, **options)
 
 
+def stored_states(t: Tables):
+    """States written once for the builds that read them several times."""
+    return t.once("stored_states", lambda: hand_over(states(t), "states"))
+
+
+def stored_items(t: Tables):
+    """Mismatch items, written once: decisions, audit and summaries all read them."""
+
+    def build():
+        fields_of = compare.side_by_side(stored_states(t), external(t), t.cells)
+        return hand_over(compare.mismatches(fields_of), "items")
+
+    return t.once("items", build)
+
+
 def sheets_and_items(t: Tables):
-    joined = states(t)
-    items = compare.mismatches(compare.side_by_side(joined, external(t), t.cells))
-    return compare.sheet_summary(joined, items), items
+    items = stored_items(t)
+    return compare.sheet_summary(stored_states(t), items), items
 
 
 @query("jn_external", "SELECT scan_id, row_id, key, state FROM f_all_states")
@@ -151,7 +171,7 @@ def _(t):
        UNION ALL SELECT 'ours', NULL, s.file_name, f.key, f.state FROM f_sheets f JOIN f_scans s ON s.scan_id = f.scan_id WHERE f.state IN ('no_record', 'duplicate', 'not_read')""",
 )
 def _(t):
-    joined = states(t)
+    joined = stored_states(t)
     theirs = joined.where("scan_id IS NULL").select(
         F.lit("external").alias("side"), "row_id", F.lit(None).cast("string").alias("file_name"), "key", F.col("state").alias("reason")
     )
@@ -204,7 +224,7 @@ def decision_log(items):
 
 
 def decided(t: Tables):
-    items = compare.mismatches(fields(t))
+    items = stored_items(t)
     return compare.decide(items, decision_log(items))
 
 
@@ -215,7 +235,7 @@ def _(t):
 
 @query("wn_last_decision", "SELECT scan_id, name, source, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY scan_id, name ORDER BY id DESC) AS rk FROM f_log) l WHERE rk = 1")
 def _(t):
-    log = decision_log(compare.mismatches(fields(t)))
+    log = decision_log(stored_items(t))
     return listing.newest(log.select("scan_id", "name", "id", "source", "value"), ["scan_id", "name"], F.col("id")).drop("id")
 
 
@@ -226,7 +246,7 @@ VIEWS["f_audit"] = """SELECT l.id, l.scan_id, l.name, l."user", i.external, i.ou
 
 @query("cp_audit_export", "SELECT a.*, s.file_name FROM f_audit a LEFT JOIN f_scans s ON s.scan_id = a.scan_id")
 def _(t):
-    items = compare.mismatches(fields(t))
+    items = stored_items(t)
     audit = compare.decision_audit(items, decision_log(items))
     return audit.join(t.scans.select("scan_id", "file_name"), "scan_id", "left")
 
@@ -237,8 +257,7 @@ def _(t):
        (SELECT COUNT(*) FROM f_all_states WHERE scan_id IS NULL) AS unmatched_external, (SELECT COUNT(*) FROM f_sheets WHERE state = 'pending') AS to_review""",
 )
 def _(t):
-    joined = states(t)
-    items = compare.mismatches(compare.side_by_side(joined, external(t), t.cells))
+    joined, items = stored_states(t), stored_items(t)
     chosen = compare.decide(items, decision_log(items))
     unmatched = joined.where("scan_id IS NULL").agg(F.count("*")).scalar()
     return chosen.agg(
@@ -258,7 +277,7 @@ _OLD = "SELECT scan_id, name, external, CASE WHEN scan_id % 7 = 0 THEN ours || '
     f"""SELECT i.scan_id, i.name, o.chosen, o.source, o.decided_by FROM f_cmp i LEFT JOIN ({_OLD}) o ON o.scan_id = i.scan_id AND o.name = i.name AND o.external = i.external AND o.ours = i.ours""",
 )
 def _(t):
-    items = compare.mismatches(fields(t))
+    items = stored_items(t)
     changed = F.when(F.col("scan_id") % 7 == 0, F.concat("ours", F.lit("x"))).otherwise(F.col("ours"))
     old = compare.decide(items, decision_log(items)).withColumn("ours", changed)
     return compare.carry_decisions(items, old).select("scan_id", "name", "chosen", "source", "decided_by")
@@ -365,7 +384,7 @@ def _(t):
        MIN(CAST(t AS BIGINT)) AS their_first, MAX(CAST(t AS BIGINT)) AS their_last, MIN(CAST(m AS BIGINT)) AS our_first, MAX(CAST(m AS BIGINT)) AS our_last FROM j""",
 )
 def _(t):
-    return compare.match_check(t.scans, compare.external_rows(external(t)), 3)
+    return compare.match_check(t.scans, ext_rows(t), 3)
 
 
 @query(
@@ -374,7 +393,7 @@ def _(t):
        GROUP BY 1 ORDER BY rows DESC, job_id LIMIT 3""",
 )
 def _(t):
-    return compare.other_jobs(t.scans, compare.external_rows(external(t)), 3)
+    return compare.other_jobs(t.scans, ext_rows(t), 3)
 
 
 @query(
