@@ -368,7 +368,23 @@ class Run:
                     F.when(failed, specs[name].on_fail).alias("action"),
                 )
             )
-        return self.df.select("scan_id", F.inline(F.array(*rows)))
+        for check in self.order:
+            rule = specs.get(check.output)
+            if rule:
+                result = F.col(f"c_{check.name}")
+                failed = F.size(result["reasons"]) > 0
+                rows.append(
+                    F.struct(
+                        F.lit(check.output).alias("name"),
+                        F.lit("check").alias("kind"),
+                        result["value"].alias("value"),
+                        (~failed).alias("ok"),
+                        result["reasons"].alias("reasons"),
+                        F.when(failed, rule.on_fail).alias("action"),
+                    )
+                )
+        none = "array<struct<name:string,kind:string,value:string,ok:boolean,reasons:array<string>,action:string>>"
+        return self.df.select("scan_id", F.inline(F.array(*rows) if rows else F.array().cast(none)))
 
     def held(self, name: str) -> Column:
         """A validation keeps this reading in review."""
@@ -393,7 +409,9 @@ class Run:
                 waits = F.coalesce(self.reading(name, "needs_review"), F.lit(False)) & ~self.held(name)
                 settled = resolved & waits & (mine["note"].isNotNull() | agrees)
                 rows.append(F.when(settled, F.struct(F.lit(name).alias("name"), F.lit(check.name).alias("resolved_by"))))
-        return self.df.select("scan_id", F.inline(F.array_compact(F.array(*rows))))
+        none = F.array().cast("array<struct<name:string,resolved_by:string>>")
+        found = F.array_compact(F.array(*rows)) if rows else none
+        return self.df.select("scan_id", F.inline(found))
 
     def review(self) -> DataFrame:
         """Review items of the rules: failed labels and checks that need a person."""
