@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+PAGES_AT_ONCE = 64
 Box = tuple[str, int, str, int, int, int, int]  # field, place, value, x, y, width, height
 
 
@@ -104,18 +105,21 @@ def blank_page(pages: DataFrame, quantile: float = 0.8) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (template, w, h), part in batch.groupby(["template_id", "width", "height"]):
-                stack = np.stack([np.frombuffer(p, np.uint8) for p in part["pixels"]])
                 cell = np.arange(w * h, dtype=np.int64) * 256
-                codes, counts = np.unique(stack.astype(np.int64) + cell, return_counts=True)
-                yield pd.DataFrame(
-                    {
-                        "template_id": template,
-                        "width": w,
-                        "pixel": codes // 256,
-                        "level": (codes % 256).astype(np.int32),
-                        "n": counts,
-                    }
-                )
+                # A few pages at a time: the work array is eight times as large as the pixels
+                for start in range(0, len(part), PAGES_AT_ONCE):
+                    some = part["pixels"].iloc[start : start + PAGES_AT_ONCE]
+                    stack = np.stack([np.frombuffer(p, np.uint8) for p in some])
+                    codes, counts = np.unique(stack + cell, return_counts=True)
+                    yield pd.DataFrame(
+                        {
+                            "template_id": template,
+                            "width": w,
+                            "pixel": codes // 256,
+                            "level": (codes % 256).astype(np.int32),
+                            "n": counts,
+                        }
+                    )
 
     counts = (
         pages.select("template_id", "width", "height", "pixels")

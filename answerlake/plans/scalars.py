@@ -682,3 +682,18 @@ def _(t):
             (F.max(y + 12) - F.min(y)).alias("h"),
         )
     )
+
+
+@query(
+    "fn_expand_udtf",
+    r"""SELECT CONCAT('q', CAST(n AS VARCHAR)) AS name, COUNT(*) AS parts FROM (SELECT UNNEST(RANGE(lo, hi + 1)) AS n FROM (SELECT CAST(regexp_extract(span, '^q(\d+)', 1) AS BIGINT) AS lo, CAST(regexp_extract(span, '(\d+)$', 1) AS BIGINT) AS hi
+       FROM f_texts WHERE id % 2 = 0) s WHERE lo < hi) x GROUP BY 1""",
+)
+def _(t):
+    from answerlake.functions import plugins
+
+    # The table function runs once per distinct range, and the parts are counted before it
+    plugins.register(t.spark)
+    spans = texts(t).where(~F.col("span").contains("..q")).groupBy("span").agg(F.count("*").alias("n"))
+    rows = spans.lateralJoin(plugins.ExpandFields(F.col("span").outer()))
+    return rows.groupBy("name").agg(F.sum("n").alias("parts"))

@@ -67,18 +67,24 @@ def truth_long(table: DataFrame, answers: Mapping[str, tuple[str, int]] | None =
 def answer_columns(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Which columns hold one character per question: long values of few distinct letters.
 
-    One pass over the table: lengths, allowed characters and the letters used.
+    Lengths and letters are counted per column and value before anything is gathered.
     """
     rows = table.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
     ).where(F.trim(F.coalesce("value", F.lit(""))) != "")
-    letters = F.filter(F.array_distinct(F.split(F.upper("value"), "")), lambda c: c.rlike(r"^\p{L}$"))
-    # Letters are few: each value is cut to its distinct ones before they are collected
-    return rows.groupBy("column").agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY length(value))").cast("int").alias("middle"),
-        F.bool_and(F.col("value").rlike(ANSWER_CHARS)).alias("clean"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(letters)))).alias("letters"),
-    ).withColumn("is_answer", (F.col("middle") >= 15) & F.col("clean") & F.col("letters").between(1, 8))
+    own = F.filter(F.array_distinct(F.split(F.upper("value"), "")), lambda c: c.rlike(r"^\p{L}$"))
+    letters = (
+        rows.select("column", F.explode(own).alias("letter"))
+        .distinct()
+        .groupBy("column")
+        .agg(F.count("*").cast("int").alias("letters"))
+    )
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY length(value))").cast("int")
+    shape = rows.groupBy("column").agg(
+        middle.alias("middle"), F.bool_and(F.col("value").rlike(ANSWER_CHARS)).alias("clean")
+    )
+    good = (F.col("middle") >= 15) & F.col("clean") & F.col("letters").between(1, 8)
+    return shape.join(letters, "column", "left").fillna(0, ["letters"]).withColumn("is_answer", good)
 
 
 def pad_digits(table: DataFrame, column: str) -> DataFrame:
