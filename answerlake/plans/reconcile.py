@@ -41,8 +41,14 @@ def ext_rows(t: Tables):
     return t.once("ext_rows", lambda: hand_over(compare.external_rows(external(t)), "ext-rows"))
 
 
+def our_keys(t: Tables):
+    """Our sheets' keys, written once: the choice per key and the join both read them."""
+    wanted = ("scan_id", "key", "status", "created_at")
+    return t.once("our_keys", lambda: hand_over(compare.our_keys(t.scans).select(*wanted), "our-keys"))
+
+
 def states(t: Tables):
-    return t.once("states", lambda: compare.sheet_states(compare.our_keys(t.scans), ext_rows(t)))
+    return t.once("states", lambda: compare.sheet_states(our_keys(t), ext_rows(t)))
 
 
 def fields(t: Tables, rules=vl.CompareRules(), **options):
@@ -88,7 +94,7 @@ def _by_primary(t):
 
 @query("jn_key_newest", f"SELECT CAST(primary_key AS VARCHAR) AS key, MAX(scan_id) FILTER (rk = 1) AS chosen, MAX(n) AS sheets FROM ({_BEST}) b GROUP BY 1")
 def _(t):
-    return compare.chosen_per_key(_by_primary(t))
+    return compare.chosen_per_key(_by_primary(t)).drop("readable")
 
 
 @query(
