@@ -91,7 +91,7 @@ def label_order(rows: DataFrame, label: str, head: Sequence[str] = ("empty", "ma
 # ---- calibration --------------------------------------------------------------------------
 
 
-def log_prob(logits: Column, target: Column, temperature: float = 1.0) -> Column:
+def log_prob(logits: Column, target: Column, temperature: float | Column = 1.0) -> Column:
     """Log of the target's softmax probability, at least log(1e-12)."""
     scaled = F.transform(logits, lambda x: x / temperature)
     top = F.array_max(logits) / temperature
@@ -100,7 +100,7 @@ def log_prob(logits: Column, target: Column, temperature: float = 1.0) -> Column
     return F.greatest(picked - top - F.ln(total), F.lit(math.log(1e-12)))
 
 
-def confidence(logits: Column, temperature: float = 1.0) -> Column:
+def confidence(logits: Column, temperature: float | Column = 1.0) -> Column:
     """Largest softmax probability."""
     top = F.array_max(logits)
     return 1.0 / F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp((x - top) / temperature))
@@ -165,22 +165,32 @@ def fit_temperature(rows: DataFrame, grid: Sequence[float]) -> DataFrame:
     to (n + 1) / (n + 2) is taken; a fit worse than none gives 1.
     """
     logits, target = F.col("logits"), F.col("target")
-    wrong = F.count_if(predicted(logits) != target)
-    sums = rows.agg(
+    steps = F.array(*map(F.lit, grid))
+    # One array per row, then an average per grid step: the rows are never multiplied
+    per_row = rows.select(
+        (predicted(logits) != target).alias("wrong"),
+        (-log_prob(logits, target)).alias("plain"),
+        F.transform(steps, lambda t: -log_prob(logits, target, t)).alias("loss"),
+        F.transform(steps, lambda t: confidence(logits, t)).alias("sure"),
+    )
+
+    def averages(column: str) -> Column:
+        return F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(len(grid))]).alias(column)
+
+    sums = per_row.agg(
         F.count("*").alias("n"),
-        wrong.alias("errors"),
-        F.avg(-log_prob(logits, target)).alias("plain"),
-        F.array(
-            *[
-                F.struct(
-                    F.round(F.avg(-log_prob(logits, target, t)), 9).alias("loss"),
-                    F.avg(confidence(logits, t)).alias("sure"),
-                    F.lit(t).alias("t"),
-                )
-                for t in grid
-            ]
-        ).alias("grid"),
+        F.count_if("wrong").alias("errors"),
+        F.avg("plain").alias("plain"),
+        averages("loss"),
+        averages("sure"),
+    )
+    entry = F.transform(
+        steps,
+        lambda t, i: F.struct(
+            F.round(F.get("loss", i), 9).alias("loss"), F.get("sure", i).alias("sure"), t.alias("t")
+        ),
     )
+    sums = sums.withColumn("grid", entry)
     goal = (F.col("n") + 1) / (F.col("n") + 2)
     least = F.array_min("grid")
     near = F.array_min(F.transform("grid", lambda g: F.struct(F.abs(g["sure"] - goal), g["t"].alias("t"))))
