@@ -19,6 +19,8 @@ def build(app: str = "answerlake", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Batches of pages are cut by size, not only by rows
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         # Arrays of a sheet are bounded by its template, so many sheets fit the hash map of a task
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
         "spark.ui.enabled": "false",
