@@ -3,22 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from answerlake.llm import decontam, simhash
+from answerlake.llm import decontam, embeddings, sharding, simhash, warc
 from answerlake.llm.common import table
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = {"op5_simhash": op5_simhash, "op10_decontamination": op10_decontamination}
-_SQL = {"op10_decontamination": decontam.SQL}
+_QUERIES = {
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op5_simhash": op5_simhash,
+    "op7_warc": op7_warc,
+    "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
+}
+_SQL = {"op2_embedding_dedup": embeddings.SQL, "op7_warc": warc.SQL, "op10_decontamination": decontam.SQL}
 
 
 def queries():
