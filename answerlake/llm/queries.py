@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlake.llm import decontam, embeddings, sharding, simhash, warc
+from answerlake.llm import decontam, embeddings, langid, sharding, simhash, warc
 from answerlake.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -35,6 +39,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op7_warc": op7_warc,
     "op9_sharding": op9_sharding,
