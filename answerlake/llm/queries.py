@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlake.llm import decontam, embeddings, langid, sharding, simhash, warc
+from answerlake.llm import decontam, embeddings, extract, langid, pii, sharding, simhash, warc
 from answerlake.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select(
@@ -39,9 +47,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op7_warc": op7_warc,
+    "op8_main_text": op8_main_text,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
