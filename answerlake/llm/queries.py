@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlake.llm import decontam, embeddings, extract, langid, pii, sharding, simhash, warc
+from answerlake.llm import bpe, decontam, embeddings, extract, langid, pii, sharding, simhash, warc
 from answerlake.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
