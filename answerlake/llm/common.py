@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower-cases A-Z in UTF-8 bytes and leaves every other byte alone.
 LOWER_BYTES = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,6 +38,25 @@ def in_slices(items: list, weights: list[int], limit: int):
         yield items[start:]
 
 
+def codes_of(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words, each with a boundary before and after, and the length of each."""
+    codes = np.frombuffer((" " + "  ".join(group) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return codes, np.array([len(w) + 2 for w in group])
+
+
+def grams_of(codes: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """For n = 1 .. order: hashes of the n codes that end at each place (0 where they leave the word)."""
+    start = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    inside = np.arange(len(codes)) - start
+    with np.errstate(over="ignore"):
+        hashes = np.zeros(len(codes), np.uint64)
+        for n in range(1, order + 1):
+            back = np.arange(len(codes)) - (n - 1)
+            hashes = (hashes ^ (codes[np.maximum(back, 0)] + np.uint64(n << 32))) * _MIX
+            hashes = hashes ^ (hashes >> np.uint64(29))
+            yield np.where(inside >= n - 1, hashes | np.uint64(1), np.uint64(0))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b) of longs: one row (node, root) per linked node.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from answerlake.llm.common import crc_mod
+from answerlake.llm.common import codes_of, crc_mod, grams_of
 
 #: The models are fitted on at most this many labelled documents of each language, the first by a hash.
 SAMPLE = 400
@@ -37,32 +37,12 @@ SHORT = 6.0
 #: Words kept in a task's table of known costs.
 REMEMBER = 1 << 18
 _WORD = re.compile(r"[^\W\d_]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _codes(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words, each with a boundary before and after, and the length of each."""
-    codes = np.frombuffer((" " + "  ".join(group) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    return codes, np.array([len(w) + 2 for w in group])
-
-
-def _grams(codes: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[np.ndarray]:
-    """For n = 1 .. order: hashes of the n codes that end at each place (0 where they leave the word)."""
-    start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    inside = np.arange(len(codes)) - start
-    with np.errstate(over="ignore"):
-        hashes = np.zeros(len(codes), np.uint64)
-        for n in range(1, order + 1):
-            back = np.arange(len(codes)) - (n - 1)
-            hashes = (hashes ^ (codes[np.maximum(back, 0)] + np.uint64(n << 32))) * _MIX
-            hashes = hashes ^ (hashes >> np.uint64(29))
-            yield np.where(inside >= n - 1, hashes | np.uint64(1), np.uint64(0))
-
-
 class Models:
     """Fitted from (language, text) rows; holds sorted hash arrays per order."""
 
@@ -89,11 +69,11 @@ class Models:
     def _fit(self, counts: Counter) -> list:
         """Per order: n-gram hashes with (probability, back-off weight of the n-gram as a context)."""
         vocabulary = sorted(counts)
-        codes, lengths = _codes(vocabulary)
+        codes, lengths = codes_of(vocabulary)
         weight = np.repeat(np.array([counts[w] for w in vocabulary], float), lengths)
         first = np.zeros(len(codes), bool)
         first[np.cumsum(lengths) - lengths] = True
-        grams = list(_grams(codes, lengths, self.order))
+        grams = list(grams_of(codes, lengths, self.order))
         self._parents = getattr(self, "_parents", [{} for _ in range(self.order)])
         table, lower = [], None
         for n in range(1, self.order + 1):
@@ -157,12 +137,12 @@ class Models:
 
     def costs(self, group: list[str]) -> np.ndarray:
         """Negative log probability of each word (with its end) under each language."""
-        codes, lengths = _codes(group)
+        codes, lengths = codes_of(group)
         first = np.cumsum(lengths) - lengths
         todo = np.ones(len(codes), bool)
         todo[first] = False
         result = np.zeros((len(codes), len(self.languages)))
-        grams = list(_grams(codes, lengths, self.order))
+        grams = list(grams_of(codes, lengths, self.order))
         for n in range(self.order - 1, -1, -1):
             at = np.flatnonzero(todo & (grams[n] != 0))
             keys = self.keys[n]

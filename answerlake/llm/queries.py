@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlake.llm import bpe, decontam, embeddings, extract, langid, pii, sharding, simhash, warc
+from answerlake.llm import bpe, decontam, embeddings, extract, langid, pii, pst, sharding, simhash, warc
 from answerlake.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.held_out(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -55,6 +59,7 @@ _QUERIES = {
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_warc": op7_warc,
     "op8_main_text": op8_main_text,
     "op9_sharding": op9_sharding,
