@@ -175,6 +175,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids and the digest of the decoded bytes of every document."""
+    return decode(encode(docs)).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    )
+
+
 def round_trip(docs: DataFrame) -> DataFrame:
     """Per document: number of tokens, digest of the ids and digest of the bytes they decode to."""
     return decode(encode(docs)).select(

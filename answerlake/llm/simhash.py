@@ -149,5 +149,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """docs with one document of each component, the one with the smallest doc_id; of rows that repeat this id
+    and text one stays, and rows with a null id stay. The columns stay as they are."""
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def hex_of(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
