@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlake.llm import wordtable
+from answerlake.llm.common import in_slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A cut at a space could split a run of white space that the pattern takes as one match.
 _RUNS = re.compile(r"  |\s (?:\s|\Z)")
 #: Bytes from which merges are taken from a heap instead of looked for in a scan.
 _LONG = 64
+#: Words put together at a time.
+PIECE = 1 << 18
 
 
 def words(text: str) -> list[str]:
@@ -106,14 +109,14 @@ def _merge_long(word: bytes, table: dict[bytes, int]) -> list[int]:
 
 
 def encode_words(rows: DataFrame, path: str) -> DataFrame:
-    """chunk, number and packed ids of word rows; each distinct word is encoded once."""
+    """The ids of word rows, gathered by chunk; each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, split, last, packed = ranks(path), _pattern(), None, b""
         remembered: dict[str, list[int]] = {}
+        replies = wordtable.Replies()
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
+            for chunk, number, word in zip(*(c.to_pylist() for c in batch.columns)):
                 if word != last:
                     last, ids = word, []
                     for match in split.findall(word.decode()):
@@ -124,10 +127,12 @@ def encode_words(rows: DataFrame, path: str) -> DataFrame:
                             known = remembered[match] = merge(match.encode(), table)
                         ids += known
                     packed = np.array(ids, np.uint16 if len(table) < 1 << 16 else np.uint32).tobytes()
-                out.append(packed)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["chunk", "number", "ids"])
+                replies.add(chunk, number, packed)
+            if replies.full():
+                yield replies.batch()
+        yield replies.batch()
 
-    return wordtable.by_word(rows).select("chunk", "number", "word").mapInArrow(run, "chunk long, number int, ids binary")
+    return wordtable.by_word(rows.select("chunk", "number", "word")).mapInArrow(run, wordtable.Replies.SCHEMA)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -136,21 +141,30 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     kind = np.uint16 if len(ranks(path)) < 1 << 16 else np.uint32
     rows = wordtable.flagged(docs)
 
-    def build(results: pa.Table, doc_ids, _, numbers: np.ndarray, starts: np.ndarray) -> pa.Table:
-        column = results.column("ids").combine_chunks()
-        ids = np.frombuffer(b"".join(column.to_pylist()), kind)
-        size = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) // ids.itemsize
-        first = np.cumsum(size) - size
-        sizes = size[numbers]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        # every word's ids, at the places of its occurrences
-        at = np.repeat((first[numbers] - ends[:-1]).astype(np.int32), sizes)
-        at += np.arange(len(at), dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends[starts].astype(np.int32)), pa.array(ids[at].astype(np.int32)))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": lists})
+    def arrange(results: pa.Table):
+        numbers, sizes, data = wordtable.Replies.read(results)
+        ends = np.cumsum(sizes) // kind().itemsize
+        at = np.unique(numbers, return_index=True)[1]
+        size = sizes[at] // kind().itemsize
+        return len(at), (np.frombuffer(data, kind), ends[at] - size, size)
+
+    def build(results, doc_ids, _, numbers: np.ndarray, starts: np.ndarray) -> pa.Table:
+        ids, first, size = results
+        tables, lengths = [], np.diff(starts).tolist()
+        for some in in_slices(list(range(len(doc_ids))), lengths, PIECE):
+            own = numbers[starts[some[0]] : starts[some[-1] + 1]]
+            sizes = size[own]
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            # every word's ids, at the places of its occurrences
+            at = np.repeat((first[own] - ends[:-1]).astype(np.int32), sizes)
+            at += np.arange(len(at), dtype=np.int32)
+            offsets = ends[starts[some[0] : some[-1] + 2] - starts[some[0]]].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[at].astype(np.int32)))
+            tables.append(pa.table({"doc_id": pa.array(doc_ids[some[0] : some[-1] + 1], pa.int64()), "ids": lists}))
+        return pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
 
     encoded = encode_words(wordtable.word_rows(rows, words), path)
-    return wordtable.assemble(encoded, wordtable.sequences(rows, words), build, "doc_id long, ids array<int>")
+    return wordtable.assemble(encoded, wordtable.sequences(rows, words), arrange, build, "doc_id long, ids array<int>")
 
 
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:

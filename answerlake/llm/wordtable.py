@@ -8,6 +8,8 @@ even if a task runs again, and equal chunks may share a key.
 
 from __future__ import annotations
 
+import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -19,10 +21,16 @@ from pyspark.sql import functions as F
 
 CHUNK = 32 << 20
 _ROWS = 1 << 15
+#: Numbers packed at a time.
+_PIECE = 1 << 18
 
 
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers below 2**28 as bytes, seven bits each, high bits first, the last byte of a number below 128."""
+    return b"".join(_pack(numbers[at : at + _PIECE]) for at in range(0, len(numbers), _PIECE))
+
+
+def _pack(numbers: np.ndarray) -> bytes:
     n = numbers.astype(np.uint32)
     size = 1 + (n >= 1 << 7).astype(np.int64) + (n >= 1 << 14) + (n >= 1 << 21)
     last = np.cumsum(size) - 1
@@ -35,14 +43,18 @@ def pack(numbers: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    last = np.flatnonzero(raw < 0x80)
-    n = raw[last].astype(np.int64)
-    size = np.diff(last, prepend=-1)
-    for back in (1, 2, 3):
-        more = size > back
-        n[more] |= (raw[last[more] - back].astype(np.int64) & 0x7F) << (7 * back)
-    return n
+    raw, parts, at = np.frombuffer(data, np.uint8), [np.empty(0, np.int32)], 0
+    while at < len(raw):
+        piece = raw[at : at + _PIECE]
+        last = np.flatnonzero(piece < 0x80)
+        n = piece[last].astype(np.int32)
+        size = np.diff(last, prepend=-1)
+        for back in (1, 2, 3):
+            more = size > back
+            n[more] |= (piece[last[more] - back].astype(np.int32) & 0x7F) << (7 * back)
+        parts.append(n)
+        at += int(last[-1]) + 1
+    return np.concatenate(parts)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], split: Callable, limit: int) -> Iterator[tuple]:
@@ -108,7 +120,7 @@ def sequences(docs: DataFrame, split: Callable, limit: int = CHUNK) -> DataFrame
         for key, _, _, ids, flags, lengths, codes in _chunks(batches, split, limit):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key]), pa.array([ids], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.bool_())),
-                 pa.array([lengths], pa.list_(pa.int32())), pa.array([codes], pa.binary())],
+                 pa.array([lengths], pa.list_(pa.int32())), pa.array([zlib.compress(codes, 1)], pa.binary())],
                 ["chunk", "ids", "flags", "lengths", "codes"],
             )
 
@@ -117,27 +129,67 @@ def sequences(docs: DataFrame, split: Callable, limit: int = CHUNK) -> DataFrame
     )
 
 
+class Replies:
+    """Results of words on their way back, gathered by chunk: numbers as packed steps, and values as bytes."""
+
+    SCHEMA = "chunk long, numbers binary, sizes binary, data binary"
+
+    def __init__(self, limit: int = 16 << 20):
+        self.limit, self.held, self.chunks = limit, 0, {}
+
+    def add(self, chunk: int, number: int, value: bytes) -> None:
+        numbers, sizes, data = self.chunks.get(chunk) or self.chunks.setdefault(chunk, (array("I"), array("I"), bytearray()))
+        numbers.append(number)
+        sizes.append(len(value))
+        data += value
+        self.held += len(value) + 8
+
+    def full(self) -> bool:
+        return self.held > self.limit
+
+    def batch(self) -> pa.RecordBatch:
+        """All that is held, a row for each chunk."""
+        rows = []
+        for chunk, (numbers, sizes, data) in self.chunks.items():
+            numbers, sizes = np.frombuffer(numbers, np.uint32).astype(np.int64), np.frombuffer(sizes, np.uint32)
+            ends, order = np.cumsum(sizes, dtype=np.int64), np.argsort(numbers, kind="stable")
+            data = b"".join([data[e - n : e] for e, n in zip(ends[order].tolist(), sizes[order].tolist())])
+            steps = np.diff(numbers[order], prepend=0)
+            rows.append((chunk, *(zlib.compress(x, 1) for x in (pack(steps), pack(sizes[order]), data))))
+        self.chunks, self.held = {}, 0
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        columns = [list(c) for c in zip(*rows)] or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "numbers", "sizes", "data"])
+
+    @staticmethod
+    def read(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """Numbers, sizes and joined values of the rows of a chunk."""
+        of = lambda name: [zlib.decompress(x) for x in rows.column(name).to_pylist()]
+        none = [np.empty(0, np.int64)]
+        numbers = [np.cumsum(unpack(x), dtype=np.int64) for x in of("numbers")]
+        return np.concatenate(none + numbers), np.concatenate(none + [unpack(x).astype(np.int64) for x in of("sizes")]), b"".join(of("data"))
+
+
 def by_word(words: DataFrame) -> DataFrame:
     """The rows of a word next to each other in one task; a word has one row per chunk at most."""
     return words.repartition("word").sortWithinPartitions("word")
 
 
-def assemble(results: DataFrame, texts: DataFrame, build: Callable, schema: str) -> DataFrame:
-    """Rows made by build(results of a chunk's words by number, ids, flags, numbers, starts of the documents).
+def assemble(results: DataFrame, texts: DataFrame, arrange: Callable, build: Callable, schema: str) -> DataFrame:
+    """Rows made by build(results of a chunk's words, ids, flags, numbers, starts of the documents).
 
-    results has chunk, number and more columns; build gets them as an Arrow table ordered by number.
+    results has a chunk and more columns; arrange(their Arrow table) gives the number of words and the results
+    by number.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        number = left.column("number").to_numpy()
-        order = np.unique(number, return_index=True)[1]
-        left = left.take(pa.array(order))
+        n, left = arrange(left)
         tables = []
         for row in range(right.num_rows):
             ids, flags, lengths, codes = (right.column(c)[row].as_py() for c in ("ids", "flags", "lengths", "codes"))
             starts = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-            numbers = unpack(codes)
-            if left.num_rows <= (int(numbers.max()) if len(numbers) else -1):
+            numbers = unpack(zlib.decompress(codes))
+            if n <= (int(numbers.max()) if len(numbers) else -1):
                 raise ValueError("a chunk has lost words: its input gave other rows when it was read again")
             tables.append(build(left, ids, flags, numbers, starts))
         return pa.concat_tables(tables) if tables else build(left, [], [], np.empty(0, np.int64), np.zeros(1, np.int64))
@@ -145,6 +197,12 @@ def assemble(results: DataFrame, texts: DataFrame, build: Callable, schema: str)
     return results.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(run, schema)
 
 
+def by_number(results: pa.Table) -> tuple[int, pa.Table]:
+    """Rows of words in the order of their numbers, each once."""
+    order = np.unique(results.column("number").to_numpy(), return_index=True)[1]
+    return len(order), results.take(pa.array(order))
+
+
 def flagged(docs: DataFrame, flag=None) -> DataFrame:
     """doc_id, flag and text as the functions above take them."""
     flag = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
