@@ -96,13 +96,14 @@ def duplicate_summary(scans: DataFrame, scope: str = "job_id") -> DataFrame:
     )
 
 
-def duplicates_of(scans: DataFrame, scan_id, scope: str = "job_id") -> DataFrame:
-    """The other scans with one scan's primary key, first fifty."""
+def duplicates_of(scans: DataFrame, scan_id, scope: str = "job_id", most: int | None = None) -> DataFrame:
+    """The other scans with one scan's primary key: all of them, or the first `most`."""
     one = scans.where(F.col("scan_id") == scan_id).select(
         F.col(scope).alias("_scope"), F.col("primary_key").alias("_key")
     )
     on = scans[scope].eqNullSafe(F.col("_scope")) & (scans["primary_key"] == F.col("_key"))
-    return scans.join(one, on, "left_semi").where(F.col("scan_id") != scan_id).orderBy("scan_id").limit(50)
+    others = scans.join(one, on, "left_semi").where(F.col("scan_id") != scan_id).orderBy("scan_id")
+    return others if most is None else others.limit(most)
 
 
 def where_results(

@@ -83,7 +83,7 @@ def quality(pages: DataFrame) -> DataFrame:
             low, high = np.searchsorted(seen, [0.01 * seen[-1], 0.99 * seen[-1]])
             return row.scan_id, round(float(lap.var()), 1), float(high - low), None
         except Exception as error:  # noqa: BLE001 - one broken page must not lose the rest
-            return row.scan_id, None, None, str(error)[:200]
+            return row.scan_id, None, None, str(error)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER_BUCKETS = 256  # ranges per order; raised to the session's shuffle partitions
+ORDER_BUCKETS = 256  # ranges per order at least; as many as shuffle partitions, so that setting bounds a range
 
 
 def cut_points(df: DataFrame, spread: Column, buckets: int) -> list[float]:
@@ -42,7 +42,7 @@ def range_of(spread: Column, cuts: Sequence[float]) -> Column:
 
 def _ranged(df: DataFrame, spread: Column) -> DataFrame:
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(4096, max(ORDER_BUCKETS, shuffle))
+    buckets = max(ORDER_BUCKETS, shuffle)
     return df.withColumn("_range", range_of(spread, cut_points(df, spread, buckets)))
 
 

@@ -352,12 +352,12 @@ def relative_fill(t: Tables):
 
 
 _HIST = """WITH v AS (SELECT name, LEAST(GREATEST(255 - mean_intensity, -50), 255) AS v FROM f_bubbles), b AS (SELECT name, MIN(v) AS lo, MAX(v) AS hi FROM v GROUP BY 1),
-   h AS (SELECT v.name, lo, (hi - lo) / 256.0 AS w, LEAST(255, CAST(FLOOR((v - lo) / ((hi - lo) / 256.0)) AS INT)) AS bin, COUNT(*) AS n, SUM(v) AS s FROM v JOIN b ON b.name = v.name GROUP BY 1, 2, 3, 4),
+   h AS (SELECT v.name, lo, (hi - lo) / 256.0 AS w, LEAST(255, CAST(FLOOR((v - lo) / ((hi - lo) / 256.0)) AS INT)) AS bin, COUNT(*) AS n, SUM(v) AS s FROM v JOIN b ON b.name = v.name WHERE hi > lo GROUP BY 1, 2, 3, 4),
    a AS (SELECT name, lo, w, bin, SUM(n) OVER p AS n0, SUM(n * (lo + (bin + 0.5) * w)) OVER p AS s0, SUM(n) OVER q AS nt, SUM(n * (lo + (bin + 0.5) * w)) OVER q AS st, LEAD(bin) OVER o AS nb
          FROM h WINDOW o AS (PARTITION BY name ORDER BY bin), p AS (PARTITION BY name ORDER BY bin ROWS UNBOUNDED PRECEDING), q AS (PARTITION BY name)),
    k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY n0 * (nt - n0) * POW(s0 / n0 - (st - s0) / (nt - n0), 2) DESC, bin) AS rk FROM a WHERE nt > n0),
    t AS (SELECT name, lo + w * (bin + 1 + nb) / 2 AS thr FROM k WHERE rk = 1)
-   SELECT t.name, ROUND(CASE WHEN AVG(v) FILTER (v > thr) - AVG(v) FILTER (v <= thr) < 40 THEN 60 ELSE LEAST(GREATEST(thr, 25), 150) END, 4) AS threshold FROM t JOIN v ON v.name = t.name GROUP BY t.name, thr"""
+   SELECT b.name, ROUND(CASE WHEN thr IS NULL OR AVG(v) FILTER (v > thr) - AVG(v) FILTER (v <= thr) < 40 THEN 60 ELSE LEAST(GREATEST(thr, 25), 150) END, 4) AS threshold FROM b LEFT JOIN t ON t.name = b.name JOIN v ON v.name = b.name GROUP BY b.name, thr"""
 
 
 @query("dc_fill_threshold", _HIST)
@@ -411,7 +411,11 @@ def fill_threshold(fills, key: str, bins: int = 256):
         ).alias("b")
     )
     kept = F.least(F.greatest("b.thr", F.lit(25.0)), F.lit(150.0))
-    return best.select(key, F.round(F.when(F.col("b.apart") < 40, 60.0).otherwise(kept), 4).alias("threshold"))
+    # a set whose fills are all equal has no split
+    close = F.col("b").isNull() | (F.col("b.apart") < 40)
+    return ends.select(key).join(best, key, "left").select(
+        key, F.round(F.when(close, 60.0).otherwise(kept), 4).alias("threshold")
+    )
 
 
 @query(

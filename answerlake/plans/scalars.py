@@ -51,12 +51,12 @@ def texts(t: Tables):
     return t.raw("part").select(key.alias("id"), text.alias("text"), span.alias("span"))
 
 
-_SPAN = r"""SELECT id, span, CASE WHEN lo <= hi THEN ARRAY_TO_STRING([CONCAT('q', CAST(n AS VARCHAR)) FOR n IN RANGE(lo, hi + 1)], ' ') END AS names
+_SPAN = r"""SELECT id, span, CASE WHEN lo {op} hi THEN ARRAY_TO_STRING([CONCAT('q', CAST(n AS VARCHAR)) FOR n IN RANGE(lo, hi + 1)], ' ') END AS names
 FROM (SELECT id, span, CAST(regexp_extract(span, '^q(\d+)', 1) AS BIGINT) AS lo,
       CAST(regexp_extract(span, '(\d+)$', 1) AS BIGINT) AS hi FROM f_texts{where}) s"""
 
 
-@query("fn_expand_range", _SPAN.format(where=""))
+@query("fn_expand_range", _SPAN.format(where="", op="<="))
 def _(t):
     names = F.array_join(tx.range_names(F.col("span")), " ")
     return texts(t).select("id", "span", names.alias("names"))
@@ -65,11 +65,11 @@ def _(t):
 @query(
     "fn_expand_field",
     "SELECT names AS name, COUNT(*) AS parts FROM (SELECT UNNEST(string_split(names, ' ')) AS names FROM ("
-    + _SPAN.format(where=" WHERE id % 2 = 0")
+    + _SPAN.format(where=" WHERE id % 2 = 0", op="<")
     + ") x WHERE names IS NOT NULL) y GROUP BY 1",
 )
 def _(t):
-    name = F.explode(tx.range_names(F.col("span"))).alias("name")
+    name = F.explode(tx.range_names(F.col("span"), strict=True)).alias("name")
     return (
         texts(t).where(~F.col("span").contains("..q")).select(name).groupBy("name").agg(F.count("*").alias("parts"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,8 +22,6 @@ def build(app: str = "answerlake", master: str | None = None, **conf: str) -> Sp
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Batches of pages are cut by size, not only by rows
         "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
-        # Arrays of a sheet are bounded by its template, so many sheets fit the hash map of a task
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
@@ -31,10 +30,10 @@ def build(app: str = "answerlake", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for a local master."""
+    """The cluster's checkpoint folder; a temporary one only where one process does all work."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
