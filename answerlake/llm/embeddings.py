@@ -138,7 +138,9 @@ def _meetings(tiles: DataFrame, radius: float) -> DataFrame:
     )
     gap = F.lit(0.0)
     for d in range(BOX):
-        apart = F.greatest(F.col("lo2")[d] - F.col("hi")[d], F.col("lo")[d] - F.col("hi2")[d], F.lit(0.0))
+        # shorter vectors have fewer dimensions in their boxes
+        lo, hi, lo2, hi2 = (F.get(c, F.lit(d)) for c in ("lo", "hi", "lo2", "hi2"))
+        apart = F.greatest(lo2 - hi, lo - hi2, F.lit(0.0))
         gap = gap + F.coalesce(apart * apart, F.lit(0.0))
     return (
         at.join(near, "cell").where((F.col("tile") <= F.col("other")) & (gap <= radius * radius + SLACK))
