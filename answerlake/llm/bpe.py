@@ -135,11 +135,13 @@ def encode_words(rows: DataFrame, path: str) -> DataFrame:
     return wordtable.by_word(rows.select("chunk", "number", "word")).mapInArrow(run, wordtable.Replies.SCHEMA)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids (array of int) of every document."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of every document; and the bytes they decode to, where the ids are at hand."""
     path = path or public_tokenizers.path(VOCABULARY)
     kind = np.uint16 if len(ranks(path)) < 1 << 16 else np.uint32
     rows = wordtable.flagged(docs)
+    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *([("decoded", pa.binary())] if decoded else [])])
+    shared = _token_bytes(docs.sparkSession, path)
 
     def arrange(results: pa.Table):
         numbers, sizes, data = wordtable.Replies.read(results)
@@ -160,30 +162,35 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             at += np.arange(len(at), dtype=np.int32)
             offsets = ends[starts[some[0] : some[-1] + 2] - starts[some[0]]].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[at].astype(np.int32)))
-            tables.append(pa.table({"doc_id": pa.array(doc_ids[some[0] : some[-1] + 1], pa.int64()), "ids": lists}))
-        return pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+            columns = [pa.array(doc_ids[some[0] : some[-1] + 1], pa.int64()), lists]
+            tables.append(pa.Table.from_arrays([*columns, *([decode_lists(lists, shared.value)] if decoded else [])], schema=out))
+        return pa.concat_tables(tables) if tables else out.empty_table()
 
     encoded = encode_words(wordtable.word_rows(rows, words), path)
-    return wordtable.assemble(encoded, wordtable.sequences(rows, words), arrange, build, "doc_id long, ids array<int>")
+    return wordtable.assemble(encoded, wordtable.sequences(rows, words), arrange, build, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
-def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """The table of tokens: id and bytes."""
-    return spark.createDataFrame(sorted((i, t) for t, i in ranks(path or public_tokenizers.path(VOCABULARY)).items()), "id int, bytes binary")
+def _token_bytes(spark: SparkSession, path: str):
+    """The token table for every task: one entry per id of the vocabulary."""
+    return spark.sparkContext.broadcast({i: t for t, i in ranks(path).items()})
+
+
+def decode_lists(lists: pa.Array, table: dict[int, bytes]) -> pa.Array:
+    """Every id of every list meets its row of the token table."""
+    texts = (b"".join(map(table.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else None for ids in lists)
+    return pa.array(texts, pa.binary())
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with the decoded bytes: every id meets its row of the token table, which each task has whole."""
-    shared = encoded.sparkSession.sparkContext.broadcast(
-        {i: t for t, i in ranks(path or public_tokenizers.path(VOCABULARY)).items()}
-    )
+    shared = _token_bytes(encoded.sparkSession, path or public_tokenizers.path(VOCABULARY))
     place = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = shared.value.__getitem__
         for batch in batches:
-            texts = [b"".join(map(find, ids.values.to_numpy().tolist())) if ids.is_valid else None for ids in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, decode_lists(batch.column(place), shared.value)], [*batch.schema.names, "decoded"]
+            )
 
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
@@ -191,14 +198,14 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def tokenised(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the decoded bytes of every document."""
-    return decode(encode(docs)).select(
+    return encode(docs, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
     )
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Per document: number of tokens, digest of the ids and digest of the bytes they decode to."""
-    return decode(encode(docs)).select(
+    return encode(docs, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
