@@ -12,7 +12,8 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-FIELD_RANGE = re.compile(r"^([^.\d]+)(\d+)\.{2,3}(\d+)$")
+# How a run of numbered names is written, q1..q50, q1..50 or q1...50.
+RUN = re.compile(r"(?P<stem>[^\d.]*)(?P<low>\d+)\.{2,3}(?P<again>[^\d.]*)(?P<high>\d+)")
 
 
 def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: pa.Schema) -> DataFrame:
@@ -21,20 +22,32 @@ def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: pa.Schema) -
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
 
 
+def names_of(text: str, strict: bool = False) -> list[str]:
+    """The names of a run such as q1..q50; any other text names itself.
+
+    strict, for fields of a template: the stem stands once, at least two names, no other dots.
+    """
+    run = RUN.fullmatch(text)
+    if run is None:
+        if ("." if strict else "..") in text:
+            raise ValueError(f"{text!r} is not a run of names like q1..5")
+        return [text]
+    low, high = int(run["low"]), int(run["high"])
+    fits = run["stem"] and not run["again"] and low < high if strict else run["again"] in ("", run["stem"]) and low <= high
+    if not fits:
+        raise ValueError(f"{text!r}: a run has one stem and rising numbers")
+    return [f"{run['stem']}{n}" for n in range(low, high + 1)]
+
+
+def names_in(text: str, between: str) -> list[str]:
+    """All names of a list whose parts the pattern `between` separates."""
+    parts = (part.strip() for part in re.split(between, text))
+    return [name for part in parts if part for name in names_of(part)]
+
+
 def expand_fields(texts: Sequence[str]) -> list[str]:
     """Names with ranges such as `q1..5` written out; a name given twice is refused."""
-    names: list[str] = []
-    for text in texts:
-        match = FIELD_RANGE.match(text)
-        if "." in text and not match:
-            raise ValueError(f"{text!r} is not a field range like q1..5")
-        if match:
-            prefix, first, last = match[1], int(match[2]), int(match[3])
-            if first >= last:
-                raise ValueError(f"{text!r}: {first} is not less than {last}")
-            names += [f"{prefix}{n}" for n in range(first, last + 1)]
-        else:
-            names.append(text)
+    names = [name for text in texts for name in names_of(text, strict=True)]
     if len(set(names)) < len(names):
         raise ValueError(f"overlapping names in {list(texts)}")
     return names

@@ -136,11 +136,14 @@ def delimited(t: Tables, header: str, *cells) -> str:
 
 @query(
     "src_delimited",
-    "SELECT CAST(scan_id AS VARCHAR) AS \"SEQ\", ans AS \"ANSWERS\", CASE WHEN scan_id % 2 = 0 THEN '' ELSE COALESCE(q1, '') END AS \"Q1\" FROM f_sheet_rows",
+    "SELECT CAST(scan_id AS VARCHAR) AS \"SEQ\", ans || CASE WHEN scan_id % 5 = 0 THEN ';\"' ELSE '' END AS \"ANSWERS\", CASE WHEN scan_id % 2 = 0 THEN '' ELSE COALESCE(q1, '') END AS \"Q1; first\" FROM f_sheet_rows",
 )
 def _(t):
-    path = delimited(t, "SEQ;ANSWERS;Q1", F.col("scan_id").cast("string"), F.col("ans"), F.coalesce("q1", F.lit("")))
-    return lines.read_delimited(t.spark, path, header_row=2).select("SEQ", "ANSWERS", "Q1")
+    # Every fifth sheet has a separator and a quote inside a quoted cell
+    quoted = F.concat(F.lit('"'), F.col("ans"), F.lit(';"""'))
+    answers = F.when(F.col("scan_id") % 5 == 0, quoted).otherwise(F.col("ans"))
+    path = delimited(t, '"SEQ";ANSWERS;"Q1; first"', F.col("scan_id").cast("string"), answers, F.coalesce("q1", F.lit("")))
+    return lines.read_delimited(t.spark, path, header_row=2).select("SEQ", "ANSWERS", "Q1; first")
 
 
 @query(
@@ -157,9 +160,11 @@ def _(t):
     "SELECT CAST(scan_id AS VARCHAR) AS \"SEQ\", " + ", ".join(f"CASE WHEN LENGTH(ans) >= {i} THEN SUBSTR(ans, {i}, 1) ELSE ' ' END AS a{i}" for i in range(1, 8)) + " FROM f_sheet_rows",
 )
 def _(t):
-    path = delimited(t, "SEQ;ANSWERS;X", F.col("scan_id").cast("string"), F.col("ans"), F.lit("x"))
-    split = lines.Split("ANSWERS", lines.expand_range("a1..a7"))
-    return lines.read_delimited(t.spark, path, ";", header_row=2, splits=[split]).drop("file", "row_no", "X")
+    answers = F.when(F.col("scan_id") % 5 == 0, F.concat(F.lit('"'), F.col("ans"), F.lit('"'))).otherwise(F.col("ans"))
+    path = delimited(t, "SEQ;ANSWERS;X", F.col("scan_id").cast("string"), answers, F.lit("x"))
+    layout = "ANSWERS a1..a7  # one character each"
+    read = lines.read_delimited(t.spark, path, ";", header_row=2, splits=layout, width=3, encoding="utf-8")
+    return read.drop("file", "row_no", "X")
 
 
 @query(

@@ -36,11 +36,14 @@ def _(t):
     return rows.groupBy("job").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
-@query("sm_dedupe", "SELECT DISTINCT SUBSTR(SHA1(CAST(user_id % 20 AS VARCHAR) || ':' || CAST(event_id % 400 AS VARCHAR) || ':0'), 1, 32) AS id FROM events")
+@query(
+    "sm_dedupe",
+    """SELECT SUBSTR(SHA1(CAST(user_id % 20 AS VARCHAR) || ':' || CAST(event_id % 400 AS VARCHAR) || ':0'), 1, 32) AS id, MAX(event_id) AS event_id, ARG_MAX(event_type, event_id) AS event_type FROM events GROUP BY 1""",
+)
 def _(t):
     ident = tx.stable_id(F.col("job"), F.col("event_id") % 400, F.lit(0))
-    once = intake.first_of_each(events(t).select(ident.alias("id"), "time"), "id", "time", "60 days")
-    return stored(t, once, "dedupe").select("id")
+    reads = events(t).select(ident.alias("id"), "event_id", "event_type")
+    return intake.newest_of_each(reads, "id", "event_id")
 
 
 _MARK = "(SELECT MAX(EPOCH_US(ts)) // 1000 * 1000 - 3600000000 FROM events)"

@@ -111,12 +111,30 @@ def pad_digits(table: DataFrame, column: str) -> DataFrame:
     return table.withColumn(column, F.when(short, padded).otherwise(F.col(column)))
 
 
-def match_labels(labels: DataFrame, images: DataFrame, name_column: str) -> DataFrame:
-    """images(image, place) with the label row of their name, else of their stem; a column with an
-    ambiguous name is used only when half of its values name images.
+def labelled(labels: DataFrame, images: DataFrame, name_column: str | None) -> DataFrame:
+    """images(image, place) with their label row: by name where the column holds file names, else
+    by place, which needs as many labels as images.
 
-    labels keep their first row per name. Rows are matched by place when no column names files.
+    A column whose name could mean people counts as file names when half of its values name images.
     """
+    rest = F.struct(*[c for c in labels.columns if c != "place"])
+    by_place = labels.select("place", rest.alias("_by_place"))
+    even = labels.agg(F.count("*")).scalar() == images.agg(F.count("*")).scalar()
+    refused = F.raise_error(F.lit("labels without file names match by place only in equal numbers"))
+    placed = F.when(even, F.col("_by_place")).otherwise(refused)
+    if name_column is None:
+        return images.join(by_place, "place", "left").select("image", "place", placed.alias("label"))
+    named = match_labels(labels, images, name_column)
+    if plain(name_column) not in AMBIGUOUS:
+        return named
+    trusted = hit_rate(labels, images, name_column).select("names_files").scalar()
+    label = F.when(trusted, F.col("label")).otherwise(placed)
+    return named.join(by_place, "place", "left").select("image", "place", label.alias("label"))
+
+
+def match_labels(labels: DataFrame, images: DataFrame, name_column: str) -> DataFrame:
+    """images(image, place) with the label row of their name, else of their stem; labels keep
+    their first row per name."""
     path = F.regexp_replace(F.trim(F.col(name_column)), r"\\", "/")
     named = labels.withColumn("_name", F.lower(tx.base_name(path))).withColumn("_stem", F.lower(tx.stem(path)))
     rest = F.struct(*[c for c in labels.columns if c != "place"])

@@ -38,6 +38,20 @@ def test_ranges(spark):
     for wrong in (["q3..1"], ["q1..3", "q2"], ["a.b"]):
         with pytest.raises(ValueError):
             config.expand_fields(wrong)
+    assert config.names_of("q2..q4") == config.names_of("q2...4") == ["q2", "q3", "q4"]
+    for wrong in ("q4..q2", "q1..r3", "q1..x"):
+        with pytest.raises(ValueError):
+            config.names_of(wrong)
+    assert lines.parse_splits("A 1 q1..q2 width=2 # two\n\nR q3 sep=comma") == [
+        lines.Split("A 1", ["q1", "q2"], None, 2),
+        lines.Split("R", ["q3"], ",", 1),
+    ]
+    for wrong in ("ANSWERS", "A q1..q2 width=x", "A q1..q2 width=0"):
+        with pytest.raises(ValueError):
+            lines.parse_splits(wrong)
+    for wrong in ("", "SEQ 0 4", "SEQ 1"):
+        with pytest.raises(ValueError):
+            lines.parse_fixed_spec(wrong)
     assert lines.unique_names(["a", "", "a", " b "]) == ["a", "C2", "a_2", "b"]
     assert lines.parse_fixed_spec("SEQ 1 6\nq1..q3 7 2 # packed") == [("SEQ", 1, 6), ("q1", 7, 2), ("q2", 9, 2), ("q3", 11, 2)]
 

@@ -17,6 +17,47 @@ def test_delimited_bytes(spark, tmp_path):
     ]
 
 
+def test_quoted_cells(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('"SEQ";"Q;1";Q2\n1;"a;b;c";x\n2;"say ""hi""";\n3;"";"y"\n4;z\n')
+    df = lines.read_delimited(spark, str(path)).orderBy("row_no")
+    assert df.columns == ["file", "row_no", "SEQ", "Q;1", "Q2"]
+    assert [tuple(r)[2:] for r in df.collect()] == [("1", "a;b;c", "x"), ("2", 'say "hi"', ""), ("3", "", "y"), ("4", "z", "")]
+    with pytest.raises(Exception, match="more than 3 cells"):
+        path.write_text("A;B;C\n1;2;3;4\n")
+        lines.read_delimited(spark, str(path), width=3, encoding="utf-8").collect()
+    with pytest.raises(ValueError):
+        lines.read_delimited(spark, str(path), header_row=9)
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "breaks.csv"
+    path.write_text('SEQ,"two\nlines",C\n1,"a\nb,c",x\n2,d\n')
+    df = lines.read_delimited(spark, str(path), breaks=True).orderBy("row_no")
+    assert df.columns == ["file", "row_no", "SEQ", "two\nlines", "C"]
+    assert [tuple(r)[1:] for r in df.collect()] == [(1, "1", "a\nb,c", "x"), (2, "2", "d", "")]
+
+
+def test_split_layout(spark, tmp_path):
+    path = tmp_path / "packed.csv"
+    path.write_text("note\n\nSEQ,RESP,A\n9,B|C||D,xxyy\n")
+    df = lines.read_delimited(spark, str(path), header_row=3, splits="RESP q1..q4 sep=|\nA a1..a3 width=2")
+    assert tuple(df.first())[2:] == ("9", "B", "C", "", "D", "xx", "yy", "  ")
+    with pytest.raises(ValueError):
+        lines.read_delimited(spark, str(path), header_row=3, splits="NOPE q1..q4")
+
+
+def test_labels_by_place(spark):
+    images = spark.createDataFrame([("in/a.jpg", 1), ("in/b.jpg", 2)], "image string, place int")
+    people = spark.createDataFrame([(1, "Ann", "x"), (2, "Bo", "y")], "place int, Name string, label string")
+    named = spark.createDataFrame([(1, "b.png", "x"), (2, "a.jpg", "y")], "place int, Name string, label string")
+    read = lambda rows, column="Name": {r["place"]: r["label"]["label"] for r in labels.labelled(rows, images, column).collect()}
+    assert read(people) == {1: "x", 2: "y"} == read(people, None)
+    assert read(named) == {1: "y", 2: "x"}
+    with pytest.raises(Exception, match="by place"):
+        read(people.where("place = 1"))
+
+
 def test_windows_encoding(spark, tmp_path):
     path = tmp_path / "old.csv"
     path.write_bytes("K;V\n1;café\n".encode("cp1252"))
