@@ -24,6 +24,13 @@ SEED = 42
 PIECE = 1 << 18
 #: Fingerprints of one block key compared by one task; larger blocks are cut into cells of this size.
 CELL = 1024
+#: Bits of the fingerprints that the exact check of similar texts starts from, and the steps that draw them out of a hash.
+WIDE = 256
+_STEPS = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x1E3779B97F4A7C15)
+#: Share of the pairs at the threshold that may have no band in common.
+MISS = 1e-3
+#: Pairs a member from which a block is dense.
+DENSE = 8
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -149,11 +156,238 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; of rows that repeat this id
-    and text one stays, and rows with a null id stay. The columns stay as they are."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 values of the shingles; none for a text without words."""
+    words = (text or "").encode().translate(LOWER_BYTES).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist())], np.uint64))
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """WIDE bits (four words) by the majority of the set's hashes, each drawn out by a mixer."""
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(shingles), PIECE // 4):
+        part = shingles[at : at + PIECE // 4, None] + _STEPS
+        with np.errstate(over="ignore"):
+            part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            part ^= part >> np.uint64(31)
+        counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")
+
+
+def bands_for(n: int, similarity: float) -> np.ndarray:
+    """Bits of each band. A band has about log2(n) - 6 bits, so that a block stays small at every n, and there are
+    as many bands as leave at most MISS of the pairs at the threshold without a common block."""
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    width = min(40, max(12, int(np.ceil(np.log2(max(2, n)))) - 6))
+    number = int(np.ceil(np.log(MISS) / np.log1p(-((1 - differ) ** width))))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(WIDE, width, replace=False) for _ in range(number)])
+
+
+def _close_pairs(block: np.ndarray, fps: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float, limit: int | None):
+    """Positions (a, b) of one run of equal blocks that may be similar and have different roots, and a mask of the
+    rows of dense blocks: those with more than `limit` pairs a member send only links that join something."""
+    n, far = len(block), _reach(similarity)
+    start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    of = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+    members, found = np.bincount(of), np.zeros(len(start), np.int64)
+
+    def near(left, step):
+        right = left + step
+        fits = np.minimum(size[left], size[right]) >= similarity * np.maximum(size[left], size[right])
+        left = left[fits & (root[left] != root[right])]
+        return left[np.bitwise_count(fps[left] ^ fps[left + step]).sum(axis=1) <= far]
+
+    dense, pairs, alive, step = np.zeros(len(start), bool), [], np.arange(n), 1
+    while True:
+        alive = alive[alive + step < n]
+        alive = alive[(block[alive + step] == block[alive]) & ~dense[of[alive]]]
+        if not len(alive):
+            break
+        left = near(alive, step)
+        pairs.append((left, left + step))
+        if limit is not None:
+            found += np.bincount(of[left], minlength=len(start))
+            dense = found > limit * members
+        step += 1
+    a, b = (np.concatenate([p[i] for p in pairs] + [np.empty(0, np.int64)]) for i in (0, 1))
+    if dense.any():
+        keep = ~dense[of[a]]
+        pairs, top, alive, step = [(a[keep], b[keep])], np.arange(n), np.flatnonzero(dense[of]), 1
+        while True:
+            alive = alive[alive + step < n]
+            alive = alive[block[alive + step] == block[alive]]
+            if not len(alive):
+                break
+            left = near(alive, step)
+            left = left[top[left] != top[left + step]]
+            pairs.append((left, left + step))
+            low = np.minimum(top[left], top[left + step])
+            np.minimum.at(top, left, low)
+            np.minimum.at(top, left + step, low)
+            step += 1
+        a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    return a, b, dense[of]
+
+
+def _reach(similarity: float) -> int:
+    """Bits of the first half of a wide fingerprint that similar sets may differ in: the mean and four deviations."""
+    differ, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, WIDE // 2
+    return int(bits * differ + 4 * np.sqrt(bits * differ * (1 - differ)))
+
+
+def _candidates(rows: DataFrame, similarity: float, limit: int | None) -> DataFrame:
+    """Pairs (a, b) of rows (block, id, f0, f1, size, root); with `limit`, also (block, member) of dense blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(part: pa.Table) -> pa.RecordBatch:
+            block, at, f0, f1, size, root = (c.to_numpy() for c in part.columns)
+            a, b, dense = _close_pairs(block, np.stack((f0, f1), axis=1).view(np.uint64), size, root, similarity, limit)
+            none = lambda k: pa.nulls(k, pa.int64())
+            inside = int(dense.sum())
+            columns = [
+                pa.concat_arrays([pa.array(np.minimum(at[a], at[b])), pa.array(at[dense])]),
+                pa.concat_arrays([pa.array(np.maximum(at[a], at[b])), none(inside)]),
+                pa.concat_arrays([none(len(a)), pa.array(block[dense])]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "block"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = batch.column(0)[-1]
+            if batch.column(0)[0] == last and len(held) > 1:
+                continue
+            part = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(part.column(0).to_numpy(), last.as_py()))
+            if cut:
+                yield found(part.slice(0, cut))
+                held = part.slice(cut).to_batches()
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    columns = ("block", "id", "f0", "f1", "size", "root")
+    return rows.select(*columns).repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, "a long, b long, block long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough; texts has key and text, equal rows may repeat."""
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    known = texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    known = hand_over(known, "texts")
+    both = (
+        pairs.join(known.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
+        .join(known.select(F.col("key").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = {0: (None, None), 1: (None, None)}
+
+        def of(side: int, key: int, text) -> np.ndarray:
+            if last[side][0] != key or last[side][1] is None:
+                last[side] = key, shingle_set(text.as_py(), shingle)
+            return last[side][1]
+
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            good = [
+                similarity_of(of(0, x, left), of(1, y, right)) >= similarity
+                for x, y, left, right in zip(a, b, batch.column(2), batch.column(3))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
+    """doc_id, key (of the text) and root (of its component) of every row: texts whose sets of `shingle` words have a
+    Jaccard similarity of at least `similarity` are linked.
+
+    Candidates share a band of wide fingerprints and are close in its first half; each is checked on its text. A
+    dense block first sends links that join something only; its other pairs that are still in
+    different components are checked after these links are known, so no pair of a block is left out.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    halves = [f"f{i}" for i in range(WIDE // 64)]
+    kinds = ", ".join(f"{f} long" for f in halves)
+    texts = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
+            prints = np.array([wide_fingerprint(s) for s in sets], "<u8").reshape(-1, WIDE // 64).view("<i8")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), *map(pa.array, prints.T.copy())],
+                ["doc_id", "key", "size", *halves],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, "text")
+    rows = hand_over(rows.mapInArrow(marks, f"doc_id long, key long, size int, {kinds}"), "fingerprints")
+    classes = hand_over(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", *halves)]), "classes")
+    bands = bands_for(classes.count(), similarity)
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.int64(1) << np.arange(bands.shape[1], dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                prints = np.stack([c.to_numpy() for c in part.columns[2:]], axis=1)
+                bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+                keys = np.stack([bits[:, b].astype(np.int64) @ powers for b in bands], axis=1)
+                keys |= np.arange(len(bands), dtype=np.int64) << 44
+                n = len(bands)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(prints[:, 0], n)),
+                     pa.array(np.repeat(prints[:, 1], n)), pa.array(np.repeat(part.column(1).to_numpy(), n))],
+                    ["band", "id", "f0", "f1", "size"],
+                )
+
+    keyed = classes.select("key", "size", *halves).mapInArrow(banded, "band long, id long, f0 long, f1 long, size int")
+    large = keyed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    large = hand_over(large.select("band", F.ceil(F.col("n") / cell).cast("int").alias("cells")), "large")
+    dealt = (
+        keyed.join(large, "band", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("id"), "cells").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        .withColumn("block", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")))
+        .withColumn("root", F.col("id"))
+    )
+    found = hand_over(_candidates(dealt, similarity, DENSE), "candidates")
+    links = hand_over(_verified(found.where("b is not null").select("a", "b").distinct(), texts, shingle, similarity), "links")
+    members = found.where("b is null").select("block", F.col("a").alias("id"))
+    roots = hand_over(components(links), "roots")
+    if members.head(1):
+        left = (
+            members.join(classes.withColumnRenamed("key", "id"), "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+            .select("block", "id", "f0", "f1", "size", F.coalesce("root", "id").alias("root"))
+        )
+        more = hand_over(_candidates(left, similarity, None).select("a", "b").distinct(), "candidates")
+        roots = components(links.union(_verified(more, texts, shingle, similarity)))
+    return rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each component of similar texts, the one with the smallest doc_id; of rows that repeat
+    this id and text one stays, and rows with a null id stay. The columns stay as they are."""
+    found = hand_over(similar_texts(docs.select("doc_id", "text"), shingle, similarity), "components")
+    first = found.groupBy("root").agg(F.min("doc_id").alias("first_id"))
+    gone = found.join(first, "root").where("doc_id != first_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
