@@ -383,12 +383,23 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ce
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each component of similar texts, the one with the smallest doc_id; of rows that repeat
-    this id and text one stays, and rows with a null id stay. The columns stay as they are."""
+    """docs with one row of each component of similar texts: the smallest doc_id, then the smallest key of the text;
+    null ids come last and of rows that repeat id and text one stays. The columns stay as they are."""
     found = hand_over(similar_texts(docs.select("doc_id", "text"), shingle, similarity), "components")
-    first = found.groupBy("root").agg(F.min("doc_id").alias("first_id"))
-    gone = found.join(first, "root").where("doc_id != first_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("order")
+    counts = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")).select("root", order, "n")
+    first = counts.groupBy("root").agg(F.min("order").alias("first"))
+    marks = counts.join(first, "root").select(
+        F.col("order.doc_id").alias("__id"), F.col("order.key").alias("__key"), F.col("order").eqNullSafe(F.col("first")).alias("stays"), "n"
+    )
+    marks = hand_over(marks.where("not stays or n > 1"), "marks")
+    rows = docs.withColumn("__of", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    kept = rows.join(marks, same, "left_anti")
+    again = marks.where("stays")
+    if again.head(1):
+        kept = kept.union(rows.join(again, same, "left_semi").dropDuplicates(["__of", "__text"]))
+    return kept.select(*docs.columns)
 
 
 def hex_of(column: str = "fp"):

@@ -66,3 +66,11 @@ def test_dense_blocks_lose_no_pair(spark):
     for i, r in enumerate(roots):
         wanted.setdefault(r, set()).add(i)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_one_row_of_each_component_stays(spark):
+    text, other = "one two three four five six seven", "quite another text with words of its own"
+    rows = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (2, other, "d"), (None, text, "e"), (None, other + " x y", "f"), (None, "alone", "g"), (None, "alone", "h"), (3, None, "i"), (3, "", "j")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, COLUMNS)).collect()
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept)
+    assert found == [(0, "alone"), (0, other + " x y"), (1, text), (2, other), (3, "")]
