@@ -29,6 +29,8 @@ WIDE = 256
 _STEPS = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x1E3779B97F4A7C15)
 #: Share of the pairs at the threshold that may have no band in common.
 MISS = 1e-3
+#: Bytes of shingle sets a task remembers.
+SETS = 32 << 20
 #: Pairs a member from which a block is dense.
 DENSE = 8
 
@@ -297,17 +299,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = {0: (None, None), 1: (None, None)}
-
-        def of(side: int, key: int, text) -> np.ndarray:
-            if last[side][0] != key or last[side][1] is None:
-                last[side] = key, shingle_set(text.as_py(), shingle)
-            return last[side][1]
+        known, held = {}, 0
+
+        def of(key: int, text) -> np.ndarray:
+            nonlocal held
+            found = known.get(key)
+            if found is None:
+                if held > SETS:
+                    known.clear()
+                    held = 0
+                found = known[key] = shingle_set(text.as_py(), shingle)
+                held += found.nbytes + 200
+            return found
 
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = [
-                similarity_of(of(0, x, left), of(1, y, right)) >= similarity
+                similarity_of(of(x, left), of(y, right)) >= similarity
                 for x, y, left, right in zip(a, b, batch.column(2), batch.column(3))
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
