@@ -38,6 +38,30 @@ def in_slices(items: list, weights: list[int], limit: int):
         yield items[start:]
 
 
+#: A key counts as heavy from this share of all rows on, so that there are at most this many heavy keys.
+HEAVY = 1000
+
+
+def look_up(rows: DataFrame, facts: DataFrame, key: str, count: str, heavy: int = HEAVY) -> DataFrame:
+    """Left join of rows with facts, one row per value of `key` (null is a value of its own).
+
+    `count` is the column of facts with the rows of the key. Keys with a thousandth of all rows or more, a
+    thousand of them at most, are broadcast, so that a hot key stays where it is; the others are joined by a
+    shuffle. Both inputs are read twice.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * heavy >= total
+    fields = [c for c in facts.columns if c not in (key, count)]
+    names = [F.col(c).alias(f"__{c}") for c in fields]
+    many = facts.where(hot).select(F.col(key).alias("__key"), F.lit(True).alias("__hot"), *names)
+    few = facts.where(~hot).select(F.col(key).alias("__key"), *names)
+    met = rows.join(F.broadcast(many), rows[key].eqNullSafe(many["__key"]), "left")
+    out = [*[F.col(c) for c in rows.columns], *[F.col(f"__{c}").alias(c) for c in fields]]
+    rest = met.where("__hot IS NULL").select(*rows.columns)
+    rest = rest.join(few, rest[key].eqNullSafe(few["__key"]), "left")
+    return met.where("__hot").select(*out).unionByName(rest.select(*out))
+
+
 def codes_of(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the words, each with a boundary before and after, and the length of each."""
     codes = np.frombuffer((" " + "  ".join(group) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlake.llm import bpe, decontam, embeddings, extract, langid, pii, pst, sharding, simhash, warc
+from answerlake.llm import bpe, covertree, decontam, embeddings, extract, langid, pii, pst, sharding, simhash, warc
 from answerlake.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.report(table(spark, sf_dir, "embeddings"))
+
+
 _QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -64,8 +68,14 @@ _QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
+}
+_SQL = {
+    "op2_embedding_dedup": embeddings.SQL,
+    "op7_warc": warc.SQL,
+    "op10_decontamination": decontam.SQL,
+    "op11_vector_codes": covertree.SQL,
 }
-_SQL = {"op2_embedding_dedup": embeddings.SQL, "op7_warc": warc.SQL, "op10_decontamination": decontam.SQL}
 
 
 def queries():
