@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlake.llm import bpe, covertree, decontam, embeddings, extract, langid, pii, pst, sharding, simhash, warc
+from answerlake.llm import bpe, covertree, decontam, embeddings, extract, langid, pii, pst, sharding, simhash, toxicity, warc
 from answerlake.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -69,6 +73,7 @@ _QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
 }
 _SQL = {
     "op2_embedding_dedup": embeddings.SQL,
