@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlake.llm import bpe, covertree, decontam, embeddings, extract, langid, pii, pst, sharding, simhash, toxicity, warc
+from answerlake.llm import bpe, covertree, decontam, embeddings, extract, langid, pii, pst, sharding, simhash, toxicity, trie, warc
 from answerlake.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 _QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -74,12 +78,14 @@ _QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
     "op12_toxicity": op12_toxicity,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 _SQL = {
     "op2_embedding_dedup": embeddings.SQL,
     "op7_warc": warc.SQL,
     "op10_decontamination": decontam.SQL,
     "op11_vector_codes": covertree.SQL,
+    "op13_conversation_trie": trie.SQL,
 }
 
 
