@@ -83,22 +83,54 @@ def _(t):
 
 @query("sm_watch", "SELECT job_id, COUNT(*) AS files, MIN(file_name) AS first_file FROM f_scans GROUP BY 1")
 def _(t):
-    inbox = scratch(t.spark, "inbox")
-    t.scans.select("job_id", "file_name").write.partitionBy("job_id").json(inbox)
-    stream = t.spark.readStream.schema("file_name string, job_id bigint").json(inbox)
-    rows = stored(t, stream, "watched")
+    folder, root = scratch(t.spark, "inbox"), scratch(t.spark, "watched")
+    inbox = intake.Inbox(t.spark, folder, "file_name string, job_id bigint", root, "json", most=40)
+    # Sheets of half the jobs arrive after the first look
+    for half in (0, 1):
+        t.scans.where(F.col("job_id") % 2 == half).select("job_id", "file_name").repartition("job_id").write.mode("append").json(folder)
+        inbox.look_until_empty()
+    rows = inbox.rows()
     return rows.groupBy("job_id").agg(F.count("*").alias("files"), F.min("file_name").alias("first_file"))
 
 
-@query("sm_settle")
+def settle_sql(settle: int, give_up: int, forget: int) -> str:
+    """The rules of `intake.settle` as a recursion over the looks of each path, in microseconds."""
+    due = f"GREATEST(waiting + {give_up}, still + {settle}, changed + {settle})"
+    return f"""WITH RECURSIVE l AS (SELECT CONCAT('in/', user_id) AS path, CAST(FLOOR(value / 100) AS BIGINT) AS size, EPOCH_US(ts) // {_CHANGE} * {_CHANGE} AS changed, event_type <> 'error' AS complete, EPOCH_US(ts) AS us FROM events),
+      n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY path ORDER BY us, changed, size, complete) AS i FROM l),
+      s AS (SELECT DISTINCT path, 0::BIGINT AS i, NULL::BIGINT AS size, NULL::BIGINT AS changed, NULL::BIGINT AS still, NULL::BIGINT AS waiting, NULL::BOOLEAN AS whole, NULL::BIGINT AS done_size, NULL::BIGINT AS done_changed, NULL::BIGINT AS looked,
+          NULL::STRUCT(size BIGINT, changed BIGINT, us BIGINT, gave_up BOOLEAN) AS o1, NULL::STRUCT(size BIGINT, changed BIGINT, us BIGINT, gave_up BOOLEAN) AS o2 FROM n
+        UNION ALL SELECT path, i, CASE WHEN kind = 'new' OR kind = 'same' THEN nsize END, nchanged, CASE WHEN kind = 'new' THEN us ELSE still END, CASE WHEN kind = 'new' AND size IS NULL THEN us ELSE waiting END, complete,
+          CASE WHEN kind = 'ready' THEN nsize ELSE done_size END, CASE WHEN kind = 'ready' THEN nchanged ELSE done_changed END, us, o1,
+          CASE WHEN kind = 'ready' THEN {{'size': nsize, 'changed': nchanged, 'us': us, 'gave_up': NOT complete}} END
+        FROM (SELECT *, CASE WHEN nsize = done_size AND nchanged = done_changed THEN 'known' WHEN size IS NULL OR nsize <> size OR nchanged <> changed THEN 'new'
+            WHEN nsize > 0 AND us - GREATEST(still, changed) >= {settle} AND (complete OR us - waiting >= {give_up}) THEN 'ready' ELSE 'same' END AS kind
+          FROM (SELECT path, i, us, nsize, nchanged, complete, o1, CASE WHEN gone THEN NULL ELSE size END AS size, changed, still, waiting, CASE WHEN gone THEN NULL ELSE done_size END AS done_size, CASE WHEN gone THEN NULL ELSE done_changed END AS done_changed
+            FROM (SELECT *, COALESCE(NOT COALESCE(size > 0, FALSE) AND looked + {forget} < us, FALSE) AS gone
+              FROM (SELECT path, i, us, nsize, nchanged, complete, CASE WHEN fired THEN NULL ELSE size END AS size, changed, still, waiting, CASE WHEN fired THEN size ELSE done_size END AS done_size, CASE WHEN fired THEN changed ELSE done_changed END AS done_changed,
+                  CASE WHEN fired THEN due ELSE looked END AS looked, CASE WHEN fired THEN {{'size': size, 'changed': changed, 'us': due, 'gave_up': NOT whole}} END AS o1
+                FROM (SELECT s.path, n.i, n.us, n.size AS nsize, n.changed AS nchanged, n.complete, s.size, s.changed, s.still, s.waiting, s.whole, s.done_size, s.done_changed, s.looked, {due.replace("waiting", "s.waiting").replace("still", "s.still").replace("changed", "s.changed")} AS due,
+                    COALESCE(s.size > 0 AND due < n.us, FALSE) AS fired FROM s JOIN n ON n.path = s.path AND n.i = s.i + 1) a) b) c) d) e),
+      last AS (SELECT path, size, changed, {due} AS us, NOT whole AS gave_up FROM s WHERE size > 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY path ORDER BY i DESC) = 1 AND i = (SELECT MAX(i) FROM n WHERE n.path = s.path))
+      SELECT path, o.size, o.changed, o.us AS "at", o.gave_up FROM (SELECT path, o1 AS o FROM s UNION ALL SELECT path, o2 FROM s) WHERE o IS NOT NULL
+      UNION ALL SELECT path, size, changed, us AS "at", gave_up FROM last WHERE (us + 999) // 1000 < (SELECT MAX(us) FROM l) // 1000"""
+
+
+_CHANGE = 6 * 3600 * 1_000_000
+
+
+@query("sm_settle", settle_sql(3600 * 1_000_000, 86400 * 1_000_000, 3 * 86400 * 1_000_000))
 def _(t):
+    # A user stands for a path; what is written to it changes every six hours
+    at = F.unix_micros("time")
     looks = events(t).select(
         F.concat(F.lit("in/"), F.col("user_id").cast("string")).alias("path"),
         F.floor(F.col("value") / 100).cast("bigint").alias("size"),
+        F.timestamp_micros(at - at % _CHANGE).alias("changed"),
         (F.col("event_type") != "error").alias("complete"),
-        (F.unix_micros("time") / 1e6).alias("at"),
+        F.col("time").alias("at"),
     )
-    return stored(t, intake.settle(looks, 3600, 86400), "settled")
+    return stored(t, intake.settle(looks, 3600, 86400, 3 * 86400), "settled")
 
 
 @query("sm_rescan", "SELECT job_id, seq, file_name FROM f_scans GROUP BY ALL HAVING BOOL_OR(status = 'error') AND NOT BOOL_OR(verified = 1)")

@@ -32,19 +32,16 @@ def test_undo_fold(spark):
 
 
 def looks(*rows):
-    class Row:
-        def __init__(self, size, complete, at):
-            self.size, self.complete, self.at = size, complete, at
-
-    return [Row(*r) for r in rows]
+    return rows
 
 
 def settled(rows, settle=3, give_up=120):
-    state, out = (-1, 0.0, 0.0, -1), []
-    for row in rows:
-        state, ready, gave_up = intake._observe(state, row, settle, give_up)
-        if ready:
-            out.append((row.at, row.size, gave_up))
+    """(at, size, gave up) of rows (size, complete, at) of one path whose changes lie long back."""
+    patience, known, out = intake.Patience(settle, give_up, 10**6), dict.fromkeys(part.split()[0] for part in intake.KNOWN.split(", ")), []
+    for size, whole, at in rows:
+        known, early = patience.until(known, at)
+        known, now = patience.look(known, size, -(10**6), whole, at)
+        out += [(o[2], o[0], o[3]) for o in (early, now) if o]
     return out
 
 
