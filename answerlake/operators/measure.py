@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from answerlake.operators import deadline
+
 PAGES_AT_ONCE = 64
+TILE = 256  # pixels of a histogram of grey levels: half a megabyte in a task, little of it when packed
+TILES_HELD = 500  # histograms a task keeps between batches
 Box = tuple[str, int, str, int, int, int, int]  # field, place, value, x, y, width, height
 
 
@@ -50,8 +55,10 @@ def _one_box(scan_ids: pd.Series, stack: np.ndarray, box: Box, dark: float) -> p
 def measure(pages: DataFrame, boxes: Sequence[Box], dark: float) -> DataFrame:
     """Mean intensity, filled share of the inner ellipse and off-page flag of every bubble.
 
-    The template's boxes travel with the task; pages stay where they are (no shuffle).
+    The template's boxes travel with the task; pages stay where they are (no shuffle). Pages whose pixels do
+    not fill their size have no rows here; `quality` names them.
     """
+    pages = pages.where(F.length("pixels") == F.col("width") * F.col("height"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -66,6 +73,17 @@ def measure(pages: DataFrame, boxes: Sequence[Box], dark: float) -> DataFrame:
     )
 
 
+def sharpness(page: np.ndarray) -> tuple[float, float]:
+    """Variance of the Laplacian and 1-99 % contrast of the page interior."""
+    h, w = page.shape
+    inner = page[h // 10 : h - h // 10, w // 10 : w - w // 10].astype(np.int32)
+    edge = np.pad(inner, 1, mode="reflect")
+    lap = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:] - 4 * inner
+    seen = np.cumsum(np.bincount(inner.ravel(), minlength=256))
+    low, high = np.searchsorted(seen, [0.01 * seen[-1], 0.99 * seen[-1]])
+    return round(float(lap.var()), 1), float(high - low)
+
+
 def quality(pages: DataFrame) -> DataFrame:
     """Sharpness (variance of the Laplacian) and 1-99 % contrast of the page interior.
 
@@ -74,14 +92,7 @@ def quality(pages: DataFrame) -> DataFrame:
 
     def one(row) -> tuple:
         try:
-            page = _raster(row)
-            h, w = page.shape
-            inner = page[h // 10 : h - h // 10, w // 10 : w - w // 10].astype(np.int32)
-            edge = np.pad(inner, 1, mode="reflect")
-            lap = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:] - 4 * inner
-            seen = np.cumsum(np.bincount(inner.ravel(), minlength=256))
-            low, high = np.searchsorted(seen, [0.01 * seen[-1], 0.99 * seen[-1]])
-            return row.scan_id, round(float(lap.var()), 1), float(high - low), None
+            return row.scan_id, *sharpness(_raster(row)), None
         except Exception as error:  # noqa: BLE001 - one broken page must not lose the rest
             return row.scan_id, None, None, str(error)
 
@@ -95,45 +106,77 @@ def quality(pages: DataFrame) -> DataFrame:
     )
 
 
+def quality_in_time(pages: DataFrame, seconds: float, raster: Callable[[dict], np.ndarray] | None = None) -> DataFrame:
+    """`quality` with a time limit per page: a page whose raster does not come in time is an error row.
+
+    `raster` turns a row into its pixels, as a codec does that can hang on a broken file.
+    """
+
+    def one(item: dict) -> tuple[float, float]:
+        page = np.frombuffer(item["pixels"], np.uint8).reshape(item["height"], item["width"]) if raster is None else raster(item)
+        return sharpness(page)
+
+    rows = pages.select("scan_id", "width", "height", "pixels")
+    return deadline.read_each(rows, "scan_id", one, {"sharpness": "double", "contrast": "double"}, seconds)
+
+
 def blank_page(pages: DataFrame, quantile: float = 0.8) -> DataFrame:
     """The blank form of each template: a high quantile of every pixel over its sheets.
 
-    Tasks send counts per (template, pixel, grey level), at most 256 levels a pixel, so the
-    exact order statistic needs no task to see all sheets of a template.
+    A page is cut into tiles of `TILE` pixels. A task adds the grey levels of its pages up in one histogram
+    per tile, which travels as one binary value, and tiles are added in a stream sorted by tile, so neither the
+    number of sheets nor of tasks fills memory and no row stands for a pixel before the result.
+    Pages whose pixels do not fill their size have no vote.
     """
+    levels = 256
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(histogram: np.ndarray) -> bytes:
+        return zlib.compress(histogram.astype("<i8").tobytes(), 1)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for (template, w, h), part in batch.groupby(["template_id", "width", "height"]):
-                cell = np.arange(w * h, dtype=np.int64) * 256
+                cell = np.arange(w * h, dtype=np.int64) * levels
                 # A few pages at a time: the work array is eight times as large as the pixels
                 for start in range(0, len(part), PAGES_AT_ONCE):
                     some = part["pixels"].iloc[start : start + PAGES_AT_ONCE]
                     stack = np.stack([np.frombuffer(p, np.uint8) for p in some])
-                    codes, counts = np.unique(stack + cell, return_counts=True)
-                    yield pd.DataFrame(
-                        {
-                            "template_id": template,
-                            "width": w,
-                            "pixel": codes // 256,
-                            "level": (codes % 256).astype(np.int32),
-                            "n": counts,
-                        }
-                    )
-
-    counts = (
-        pages.select("template_id", "width", "height", "pixels")
-        .mapInPandas(run, "template_id string, width int, pixel bigint, level int, n bigint")
-        .groupBy("template_id", "width", "pixel", "level")
-        .agg(F.sum("n").alias("n"))
-    )
-    pixel = Window.partitionBy("template_id", "pixel")
-    upto = pixel.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    place = F.round(quantile * (F.sum("n").over(pixel) - 1))
-    return (
-        counts.withColumn("_at", place)
-        .withColumn("_upto", F.sum("n").over(upto))
-        .where("_upto > _at")
-        .groupBy("template_id", "width", "pixel")
-        .agg(F.min("level").alias("level"))
-    )
+                    for tile, lo in enumerate(range(0, w * h, TILE)):
+                        codes = (stack[:, lo : lo + TILE] + cell[: min(TILE, w * h - lo)]).ravel()
+                        key = (template, w, tile)
+                        found[key] = found.get(key, 0) + np.bincount(codes, minlength=TILE * levels)
+            if len(found) > TILES_HELD:
+                yield rows_of(found)
+                found = {}
+        yield rows_of(found)
+
+    def rows_of(found: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        rows = [(*key, packed(h)) for key, h in found.items()]
+        return pd.DataFrame(rows, columns=["template_id", "width", "tile", "histogram"])
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                histogram = np.frombuffer(zlib.decompress(row.histogram), "<i8")
+                if row[:3] != key:
+                    if key is not None:
+                        yield levels_of(key, total)
+                    key, total = row[:3], np.zeros_like(histogram)
+                total = total + histogram
+        if key is not None:
+            yield levels_of(key, total)
+
+    def levels_of(key: tuple, total: np.ndarray) -> pd.DataFrame:
+        upto = total.reshape(TILE, levels).cumsum(axis=1)
+        some = np.flatnonzero(upto[:, -1])
+        place = np.floor(quantile * (upto[some, -1] - 1) + 0.5)
+        level = (upto[some] > place[:, None]).argmax(axis=1).astype(np.int32)
+        return pd.DataFrame({"template_id": key[0], "width": key[1], "pixel": key[2] * TILE + some, "level": level})
+
+    whole = pages.where(F.length("pixels") == F.col("width") * F.col("height")).select("template_id", "width", "height", "pixels")
+    tiles = whole.mapInPandas(count, "template_id string, width int, tile bigint, histogram binary")
+    keys = ["template_id", "width", "tile"]
+    sorted_tiles = tiles.repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_tiles.mapInPandas(merge, "template_id string, width int, pixel bigint, level int")

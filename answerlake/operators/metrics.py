@@ -201,19 +201,24 @@ def self_check(items: DataFrame) -> DataFrame:
 # ---- labels -------------------------------------------------------------------------------
 
 
+PAIRS_HELD = 1 << 20  # pairs of a block, before equal ones are added up
+
+
 def label_correlation(
     marks: DataFrame, tokens: DataFrame, bubbles: Sequence[str], labels: Sequence[str], vocabulary: Sequence[str]
 ) -> DataFrame:
     """Correlation of every bubble's mark with every label token over the sheets that have
     the label.
 
-    Each task multiplies its sheets' mark and token matrices and emits only the sums, whose
-    number is fixed by the template; sums are then added up by Spark.
+    A sparse matrix product: a task adds up, for its sheets, the pairs (bubble, label token) that occur together,
+    a block of pairs at a time, and sends only sums that are not zero; so do the counts of single marks,
+    tokens and labels. Spark adds the sums; pairs that never occur together come in when
+    the labels are spread over bubbles and tokens at the end.
     marks(scan_id, bubble), tokens(scan_id, label, letters).
     """
     b_index, l_index = {b: i for i, b in enumerate(bubbles)}, {n: i for i, n in enumerate(labels)}
     t_index = {t: i for i, t in enumerate(vocabulary)}
-    nb, nl, nt = len(bubbles), len(labels), len(vocabulary)
+    nt = len(vocabulary)
     sheets = (
         marks.groupBy("scan_id")
         .agg(F.collect_set("bubble").alias("bubbles"))
@@ -225,40 +230,53 @@ def label_correlation(
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, sl = np.zeros(nl), np.zeros((nl, nt))
-        sm, joint = np.zeros((nl, nb)), np.zeros((nb, nl * nt))
+        # a sum is known by bubble (-1: any), label and token (-1: any)
+        held, size, sums = [], 0, (np.empty((0, 3), np.int32), np.empty(0, np.int64))
         for batch in batches:
-            m = np.zeros((len(batch), nb))
-            lab, known = np.zeros((len(batch), nl, nt)), np.zeros((len(batch), nl))
-            for row, (marked, entries) in enumerate(zip(batch["bubbles"], batch["labels"])):
-                for bubble in marked if marked is not None else ():
-                    m[row, b_index[bubble]] = 1
-                for entry in entries:
-                    known[row, l_index[entry["label"]]] = 1
-                    for letter in set(entry["letters"]) & t_index.keys():
-                        lab[row, l_index[entry["label"]], t_index[letter]] = 1
-            n += known.sum(axis=0)
-            sm += known.T @ m
-            sl += lab.sum(axis=0)
-            joint += m.T @ lab.reshape(len(batch), nl * nt)
-        grid = np.indices((nb, nl, nt)).reshape(3, -1)
+            for marked, entries in zip(batch["bubbles"], batch["labels"]):
+                m = np.array([-1, *(b_index[b] for b in (marked if marked is not None else ()))], np.int32)
+                letters = [(l_index[e["label"]], {t_index[c] for c in e["letters"] if c in t_index}) for e in entries]
+                lt = np.array([(lab, t) for lab, found in letters for t in (-1, *found)], np.int32)
+                held.append(np.column_stack((np.repeat(m, len(lt)), np.tile(lt, (len(m), 1)))))
+                size += len(held[-1])
+                if size > PAIRS_HELD:
+                    held, size, sums = [], 0, added(sums, held)
+        keys, n = added(sums, held)
+        bubble, label, token = keys.T
         yield pd.DataFrame(
             {
-                "bubble": [bubbles[i] for i in grid[0]],
-                "label": [labels[i] for i in grid[1]],
-                "token": [vocabulary[i] for i in grid[2]],
-                "n": n[grid[1]],
-                "sm": sm[grid[1], grid[0]],
-                "sl": sl[grid[1], grid[2]],
-                "sml": joint.reshape(nb, nl, nt)[grid[0], grid[1], grid[2]],
+                "bubble": [bubbles[i] if i >= 0 else None for i in bubble],
+                "label": [labels[i] for i in label],
+                "token": [vocabulary[i] if i >= 0 else None for i in token],
+                "n": n,
             }
         )
 
-    sums = (
+    def added(sums: tuple, held: list[np.ndarray]) -> tuple:
+        keys = np.concatenate((sums[0], *held))
+        weights = np.concatenate((sums[1], np.ones(len(keys) - len(sums[1]), np.int64)))
+        codes = ((keys[:, 0].astype(np.int64) + 1) * len(labels) + keys[:, 1]) * (nt + 1) + keys[:, 2] + 1
+        found, first, of = np.unique(codes, return_index=True, return_inverse=True)
+        return keys[first], np.bincount(of, weights, len(found)).astype(np.int64)
+
+    found = (
         sheets.select("bubbles", "labels")
-        .mapInPandas(run, "bubble string, label string, token string, n double, sm double, sl double, sml double")
+        .mapInPandas(run, "bubble string, label string, token string, n bigint")
         .groupBy("bubble", "label", "token")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sm", "sl", "sml")])
+        .agg(F.sum("n").cast("double").alias("n"))
+    )
+
+    def counts(where: str, name: str, *keys: str) -> DataFrame:
+        return found.where(where).select(*keys, F.col("n").alias(name))
+
+    grid = counts("bubble IS NULL AND token IS NULL", "n", "label")
+    for column, values in (("bubble", bubbles), ("token", vocabulary)):
+        grid = grid.withColumn(column, F.explode(F.array(*map(F.lit, values))))
+    sums = (
+        grid.join(counts("bubble IS NOT NULL AND token IS NULL", "sm", "label", "bubble"), ["label", "bubble"], "left")
+        .join(counts("bubble IS NULL AND token IS NOT NULL", "sl", "label", "token"), ["label", "token"], "left")
+        .join(counts("bubble IS NOT NULL AND token IS NOT NULL", "sml", "bubble", "label", "token"), ["bubble", "label", "token"], "left")
+        .fillna(0.0, ["sm", "sl", "sml"])
     )
     mean_m, mean_l = F.col("sm") / F.col("n"), F.col("sl") / F.col("n")
     spread = F.sqrt((mean_m - mean_m * mean_m) * (mean_l - mean_l * mean_l))
