@@ -104,10 +104,8 @@ def read_each(df: DataFrame, ident: str, function: Callable[[dict], tuple], fiel
     lost and none stops the job. The process is not started for tasks without rows.
     """
     names = [ident, *fields, "error"]
-    schema = StructType().add(df.schema[ident])
-    for name, kind in fields.items():
-        schema.add(name, kind)
-    schema.add("error", "string")
+    added = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in (*fields.items(), ("error", "string"))))
+    schema = StructType([df.schema[ident], *added.fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(function, seconds)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from answerlake.functions import values as vl
 from answerlake.operators import ranking
@@ -153,50 +156,55 @@ def class_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
-def temperature_grid(low: float = 0.05, high: float = 20.0, steps: int = 60) -> list[float]:
-    a, b = math.log(low), math.log(high)
-    return [math.exp(a + (b - a) * i / steps) for i in range(steps + 1)]
-
-
-def fit_temperature(rows: DataFrame, grid: Sequence[float]) -> DataFrame:
-    """Softmax temperature of least mean loss on a log grid, from one pass over the logits.
-
-    Without errors the loss falls for ever, so the temperature whose mean confidence is nearest
-    to (n + 1) / (n + 2) is taken; a fit worse than none gives 1.
-    """
-    logits, target = F.col("logits"), F.col("target")
-    steps = F.array(*map(F.lit, grid))
-    # One array per row, then an average per grid step: the rows are never multiplied
-    per_row = rows.select(
-        (predicted(logits) != target).alias("wrong"),
-        (-log_prob(logits, target)).alias("plain"),
-        F.transform(steps, lambda t: -log_prob(logits, target, t)).alias("loss"),
-        F.transform(steps, lambda t: confidence(logits, t)).alias("sure"),
+def _temperature_sums(rows: DataFrame, sharpness: float):
+    """Sums over all rows at one sharpness (1 / temperature): loss and mean confidence, each with its slopes."""
+    logits, target, s = F.col("logits"), F.col("target"), F.lit(sharpness)
+    total = lambda f: F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + f(x))
+    top = F.array_max(logits)
+    weight = lambda x: F.exp((x - F.col("top")) * s)
+    parts = rows.select("logits", "target", top.alias("top")).select(
+        "logits", "target", "top", total(weight).alias("z"), total(lambda x: weight(x) * x).alias("zx"), total(lambda x: weight(x) * x * x).alias("zxx")
     )
-
-    def averages(column: str) -> Column:
-        return F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(len(grid))]).alias(column)
-
-    sums = per_row.agg(
+    mean, own = F.col("zx") / F.col("z"), F.get(logits, target)
+    log_p = (own - F.col("top")) * s - F.log("z")
+    free = log_p > math.log(1e-12)  # losses are capped there and have no slope
+    return parts.agg(
         F.count("*").alias("n"),
-        F.count_if("wrong").alias("errors"),
-        F.avg("plain").alias("plain"),
-        averages("loss"),
-        averages("sure"),
-    )
-    entry = F.transform(
-        steps,
-        lambda t, i: F.struct(
-            F.round(F.get("loss", i), 9).alias("loss"), F.get("sure", i).alias("sure"), t.alias("t")
-        ),
-    )
-    sums = sums.withColumn("grid", entry)
-    goal = (F.col("n") + 1) / (F.col("n") + 2)
-    least = F.array_min("grid")
-    near = F.array_min(F.transform("grid", lambda g: F.struct(F.abs(g["sure"] - goal), g["t"].alias("t"))))
-    fitted = F.when(least["loss"] > F.col("plain"), 1.0).otherwise(least["t"])
-    best = F.when(F.col("n") == 0, 1.0).when(F.col("errors") == 0, near["t"]).otherwise(fitted)
-    return sums.select(F.round(best, 6).alias("temperature"), "n", "errors")
+        F.count_if(predicted(logits) != target).alias("errors"),
+        F.avg(-F.greatest(log_p, F.lit(math.log(1e-12)))).alias("loss"),
+        F.avg(F.when(free, mean - own).otherwise(0.0)).alias("slope"),
+        F.avg(F.when(free, F.col("zxx") / F.col("z") - mean * mean).otherwise(0.0)).alias("bend"),
+        F.avg(1 / F.col("z")).alias("sure"),
+        F.avg((F.col("top") - mean) / F.col("z")).alias("rise"),
+    ).first()
+
+
+def fit_temperature(rows: DataFrame, low: float = 0.05, high: float = 20.0, passes: int = 40, close: float = 1e-10) -> DataFrame:
+    """Softmax temperature of least mean loss between `low` and `high`: temperature, n, errors.
+
+    Without errors the loss falls for ever, so the temperature whose mean confidence is (n + 1) / (n + 2) is taken;
+    a fit worse than none gives 1, and so do no rows. A Newton search on the inverse temperature, in which the loss
+    is convex: every pass is one aggregate of mergeable sums (first and second derivative), usually
+    five or six passes, and only those sums reach the driver. A step out of the bracket goes to its end or halves it.
+    """
+    at, lower, upper = 1.0, 1 / high, 1 / low
+    now = plain = _temperature_sums(rows, at)
+    n, errors = plain["n"], plain["errors"]
+    for _ in range(passes if n else 0):
+        value, slope = (now["slope"], now["bend"]) if errors else (now["sure"] - (n + 1) / (n + 2), now["rise"])
+        lower, upper = (lower, at) if value > 0 else (at, upper)
+        step = at - value / slope if slope > 0 else math.inf if value < 0 else -math.inf
+        if not lower < step < upper:
+            # the ends have been looked at once they are part of the bracket by a step there
+            end = 1 / low if step >= upper and upper == 1 / low else 1 / high if step <= lower and lower == 1 / high else None
+            step = end if end is not None and at != end else math.sqrt(lower * upper)
+        if abs(step - at) <= close * at or upper - lower <= close * lower:
+            break
+        at = step
+        now = _temperature_sums(rows, at)
+    worse = bool(errors) and now["loss"] > plain["loss"]
+    best = 1.0 if not n or worse else 1 / at
+    return rows.sparkSession.createDataFrame([(round(best, 6), n, errors)], "temperature double, n bigint, errors bigint")
 
 
 # ---- synthetic answers and colours --------------------------------------------------------
@@ -224,28 +232,83 @@ def random_answers(
     return rows.withColumns({"u": u, "v": v}).select("scan_id", "name", value.alias("value"))
 
 
-def palette(pixels: DataFrame, k: int = 4, seed: int = 1) -> DataFrame:
-    """Colour shares of a form: clusters in Lab of pixels(b, g, r, n), paper apart.
+LIGHTNESS_SHARE = 0.5  # lightness counts half, so that an ink and its lighter edges stay together
+CLOSE_COLOURS = 10.0  # mean colours nearer than this are one
 
-    Equal colours are one weighted point, so clustering works on at most 2^24 rows and on all
-    pixels.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
 
-    colours = pixels.groupBy("b", "g", "r").agg(F.sum("n").cast("double").alias("weight"))
+def palette(pixels: DataFrame, page: str = "page", k: int = 6, least: float = 0.002) -> DataFrame:
+    """The main colours of each page of pixels(page, b, g, r, n): (page, colour, lightness, a, bb, share).
+
+    Near-white paper is a colour of its own. The others are counted in a histogram of 32 steps per channel, so
+    a page is at most 32768 bins with exact sums, whatever its size; a page's box of bins is then cut in Lab, up to
+    k times, always the box and axis with the largest spread, where the two sides differ most. Boxes of near mean
+    colour are joined, and colours below the least share are left out. Colours are numbered by falling share.
+    """
     lightness, a, b = vl.lab(*[F.col(c).cast("double") for c in ("b", "g", "r")])
-    points = colours.withColumns({"L": lightness, "A": a, "B": b})
+    rows = pixels.where(F.col("n") > 0).withColumns({"L": lightness, "A": a, "B": b})
     paper = (F.col("L") > 85) & (F.hypot("A", "B") < 12)
-    points = points.withColumn("paper", paper)
-    ink = VectorAssembler(inputCols=["L", "A", "B"], outputCol="features").transform(points.where("NOT paper"))
-    model = KMeans(k=k, seed=seed, weightCol="weight", maxIter=20).fit(ink)
-    named = model.transform(ink).select(F.col("prediction").cast("string").alias("colour"), "L", "A", "B", "weight")
-    sheet = points.where("paper").select(F.lit("paper").alias("colour"), "L", "A", "B", "weight")
-    mean = [
-        F.round(F.sum(F.col(c) * F.col("weight")) / F.sum("weight"), 1).alias(n)
-        for c, n in (("L", "lightness"), ("A", "a"), ("B", "bb"))
-    ]
-    shares = named.unionByName(sheet).groupBy("colour").agg(F.sum("weight").alias("weight"), *mean)
-    total = colours.agg(F.sum("weight")).scalar()
-    return shares.withColumn("share", F.round(F.col("weight") / total, 4)).drop("weight")
+    bins = rows.groupBy(page, paper.alias("paper"), *[F.floor(F.when(paper, 0).otherwise(F.col(c)) / 8).alias(f"_{c}") for c in "bgr"]).agg(
+        F.sum("n").cast("double").alias("n"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("L", "A", "B")]
+    )
+    schema = StructType().add(pixels.schema[page]).add("colour", "string")
+    for name in ("lightness", "a", "bb", "share"):
+        schema.add(name, "double")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        total, sheet = part["n"].sum(), part["paper"].to_numpy()
+        lab, n = part[["L", "A", "B"]].to_numpy(), part["n"].to_numpy()
+        order = np.lexsort((*lab.T, n, sheet))
+        lab, n, sheet = lab[order], n[order], sheet[order]
+        groups = joined([g for g in cut_boxes(lab[~sheet], n[~sheet], k)], lab[~sheet], n[~sheet]) if (~sheet).any() else []
+        found = [(n[~sheet][g].sum(), np.average(lab[~sheet][g], axis=0, weights=n[~sheet][g])) for g in groups]
+        found = sorted((f for f in found if f[0] / total >= least), key=lambda f: (-f[0], *f[1]))
+        named = [(str(i), *f) for i, f in enumerate(found)]
+        if sheet.any():
+            named.append(("paper", n[sheet].sum(), np.average(lab[sheet], axis=0, weights=n[sheet])))
+        out = [(part[page].iloc[0], name, *(round(float(v), 1) for v in mean), round(float(w / total), 4)) for name, w, mean in named]
+        return pd.DataFrame(out, columns=schema.fieldNames())
+
+    # a fixed number of tasks: pages are small, so their bytes say nothing about the work
+    width = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bins.repartition(width, page).groupBy(page).applyInPandas(run, schema)
+
+
+def cut_boxes(lab: np.ndarray, n: np.ndarray, k: int) -> list[np.ndarray]:
+    """Indexes of up to k boxes of weighted colours."""
+    scaled = lab * np.array([LIGHTNESS_SHARE, 1.0, 1.0])
+
+    def cut(box: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
+        best = None
+        for axis in range(3):
+            order = box[np.argsort(scaled[box, axis], kind="stable")]
+            x, w = scaled[order, axis], n[order]
+            left, sums = np.cumsum(w)[:-1], np.cumsum(w * x)[:-1]
+            right = w.sum() - left
+            gain = left * right / w.sum() * (sums / left - ((w * x).sum() - sums) / right) ** 2
+            gain[x[1:] == x[:-1]] = 0
+            if len(gain) and gain.max() > 0 and (best is None or gain.max() > best[0]):
+                at = int(gain.argmax()) + 1
+                best = (float(gain.max()), order[:at], order[at:])
+        return best
+
+    boxes = [np.arange(len(lab))]
+    cuts = [cut(boxes[0])]
+    while len(boxes) < k and any(cuts):
+        at = max((i for i, c in enumerate(cuts) if c), key=lambda i: cuts[i][0])
+        _, one, two = cuts[at]
+        boxes[at : at + 1], cuts[at : at + 1] = [one, two], [cut(one), cut(two)]
+    return boxes
+
+
+def joined(boxes: list[np.ndarray], lab: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Boxes whose mean colours are close put together, the closest first."""
+    boxes = list(boxes)
+    while len(boxes) > 1:
+        means = np.array([np.average(lab[b], axis=0, weights=n[b]) for b in boxes]) * np.array([LIGHTNESS_SHARE, 1.0, 1.0])
+        apart = np.sqrt(((means[:, None] - means) ** 2).sum(2)) + np.where(np.eye(len(boxes)), np.inf, 0)
+        i, j = np.unravel_index(apart.argmin(), apart.shape)
+        if apart[i, j] >= CLOSE_COLOURS:
+            break
+        boxes[i] = np.concatenate((boxes[i], boxes[j]))
+        del boxes[j]
+    return boxes

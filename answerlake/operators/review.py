@@ -6,15 +6,17 @@ to the edits, and history stays in the log.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlake.functions import values as vl
+from answerlake.operators import ranking
+from answerlake.session import hand_over
 
 UNDO_STEPS = 20  # versions kept to go back to
+UNDO_RUN = 4096  # actions of one sheet that are folded at once
 
 
 def apply_decisions(readings: DataFrame, decisions: DataFrame, values: Sequence[str], empty: str = ""):
@@ -175,39 +177,81 @@ def move(assign: DataFrame, scans: DataFrame, source: str, target: str | None, i
     return rows.withColumn("reviewer", F.when(mine, target).otherwise(F.col("reviewer"))).drop("_open")
 
 
-def current_versions(log: DataFrame, steps: int = UNDO_STEPS) -> DataFrame:
+#: A version of a list of versions: a place in the list before (i), or an edit of its own (id).
+_VERSION = "array<struct<i:int,id:bigint>>"
+
+
+def _folded(acts: Column, known: Column, at: Column, steps: int) -> Column:
+    """The list of versions and the place in it after edits, undos and redos, in order."""
+
+    def act(now: Column, a: Column) -> Column:
+        kept = F.slice(now["v"], F.greatest(now["c"] - (steps - 2), F.lit(1)), F.least(now["c"] + 1, F.lit(steps)))
+        own = F.array(F.struct(F.lit(None).cast("int").alias("i"), a["id"].alias("id")))
+        versions = F.when(a["action"] == "edit", F.concat(kept, own)).otherwise(now["v"])
+        place = (
+            F.when(a["action"] == "edit", F.least(now["c"] + 1, F.lit(steps)))
+            .when(a["action"] == "undo", F.greatest(now["c"] - 1, F.lit(0)))
+            .when(a["action"] == "redo", F.least(now["c"] + 1, F.size(now["v"]) - 1))
+            .otherwise(now["c"])
+        )
+        return F.struct(versions.cast(_VERSION).alias("v"), place.cast("int").alias("c"))
+
+    return F.aggregate(acts, F.struct(known.cast(_VERSION).alias("v"), at.cast("int").alias("c")), act)
+
+
+def current_versions(log: DataFrame, steps: int = UNDO_STEPS, run: int = UNDO_RUN) -> DataFrame:
     """The version each sheet shows after a log(scan_id, id, action) of edit, undo and redo.
 
-    The log is sorted within its sheet's partition and read as a stream: a task keeps one sheet's
-    last versions, never its whole history, so a long history does not fill memory.
+    A sheet's versions are a list and a place in it: an edit cuts the list behind the place and adds
+    itself, undo and redo move the place, and at most `steps` versions lie before it. A log of up to `run`
+    actions is folded at once. A longer one is cut into runs; the effect of a run is a table: for every length of
+    the list and place it can begin with (a number that `steps` fixes), the list it leaves, as references to the list
+    before and edits of its own. Such effects can be joined two by two, so a long log is folded as a tree of
+    joins by many tasks. What follows the first edit of a run depends on the place only.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scan, now, undo, redo = None, 0, [], []
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.scan_id != scan:
-                    if scan is not None:
-                        out.append((scan, now, len(undo), len(redo)))
-                    scan, now, undo, redo = row.scan_id, 0, [], []
-                if row.action == "edit":
-                    undo, now, redo = [*undo, now][-steps:], row.id, []
-                elif row.action == "undo" and undo:
-                    redo.append(now)
-                    now = undo.pop()
-                elif row.action == "redo" and redo:
-                    undo.append(now)
-                    now = redo.pop()
-            yield pd.DataFrame(out, columns=["scan_id", "version", "undo_steps", "redo_steps"])
-        if scan is not None:
-            yield pd.DataFrame(
-                [(scan, now, len(undo), len(redo))],
-                columns=["scan_id", "version", "undo_steps", "redo_steps"],
-            )
-
-    ordered = log.select("scan_id", "id", "action").repartition("scan_id").sortWithinPartitions("scan_id", "id")
-    return ordered.mapInPandas(run, "scan_id bigint, version bigint, undo_steps int, redo_steps int")
+    ordered = ranking.numbered(log.select("scan_id", "id", "action"), [F.col("id")], F.col("id"), ["scan_id"], "_n")
+    runs = (
+        ordered.withColumn("run", F.floor((F.col("_n") - 1) / run))
+        .groupBy("scan_id", "run")
+        .agg(F.array_sort(F.collect_list(F.struct("id", "action"))).alias("acts"))
+    )
+    edit = F.array_position(F.transform("acts", lambda a: a["action"]), "edit").cast("int")
+    first = F.when(edit > 0, edit - 1).otherwise(F.size("acts"))
+    whole = F.struct(F.lit(0).alias("part"), F.col("acts").alias("acts"))
+    moves = F.struct(F.lit(-1).alias("part"), F.slice("acts", 1, first).alias("acts"))
+    rest = F.struct(F.lit(0).alias("part"), F.slice("acts", first + 1, F.size("acts")).alias("acts"))
+    parts = runs.select("scan_id", "run", F.explode(F.when(F.col("run") == 0, F.array(whole)).otherwise(F.array(moves, rest))).alias("p"))
+    lengths = F.sequence(F.lit(1), F.lit(steps + 1))
+    starts = F.flatten(F.transform(lengths, lambda m: F.transform(F.sequence(F.lit(0), m - 1), lambda c: F.struct(m.alias("m"), c.alias("c")))))
+    # an edit forgets what lies behind the place
+    short = F.filter(starts, lambda s: s["m"] == s["c"] + 1)
+    edited = F.get(F.col("p.acts"), F.lit(0))["action"] == "edit"
+    begin = F.when(F.col("run") == 0, F.filter(starts, lambda s: s["m"] == 1)).when(edited, short).otherwise(starts)
+    known = F.transform(F.sequence(F.lit(0), F.col("s.m") - 1), lambda i: F.struct(i.alias("i"), F.lit(None).cast("bigint").alias("id")))
+    after = (
+        parts.select("scan_id", (2 * F.col("run") + F.col("p.part")).alias("part"), F.col("p.acts").alias("acts"), edited.alias("cut"), F.explode(begin).alias("s"))
+        .select("scan_id", "part", "cut", "s", _folded(F.col("acts"), known, F.col("s.c"), steps).alias("e"))
+        .withColumn("m", F.explode(F.when(F.coalesce("cut", F.lit(False)) & (F.col("part") > 0), F.sequence(F.col("s.m"), F.lit(steps + 1))).otherwise(F.array("s.m"))))
+        .select("scan_id", "part", "m", F.col("s.c").alias("c"), F.col("e.v").alias("v"), F.col("e.c").alias("at"))
+    )
+    last = runs.agg(F.max("run")).first()[0] or 0
+    parts_left = 2 * last + 1
+    if parts_left > 1:
+        after = hand_over(after, "effects")
+    while parts_left > 1:
+        left = after.where(F.col("part") % 2 == 0)
+        right = after.where(F.col("part") % 2 == 1).select(
+            F.col("scan_id").alias("_scan"), (F.col("part") - 1).alias("_part"), F.col("m").alias("_m"), F.col("c").alias("_c"), F.col("v").alias("_v"), F.col("at").alias("_at")
+        )
+        on = F.col("scan_id").eqNullSafe(F.col("_scan")) & (F.col("part") == F.col("_part")) & (F.size("v") == F.col("_m")) & (F.col("at") == F.col("_c"))
+        through = F.transform("_v", lambda e: F.when(e["i"].isNull(), e).otherwise(F.get(F.col("v"), e["i"])))
+        after = left.join(right, on, "left").select(
+            "scan_id", (F.col("part") / 2).cast("long").alias("part"), "m", "c",
+            F.when(F.col("_at").isNull(), F.col("v")).otherwise(through).alias("v"), F.coalesce("_at", "at").alias("at"),
+        )
+        after, parts_left = hand_over(after, "effects"), (parts_left + 1) // 2
+    version = F.coalesce(F.get(F.col("v"), F.col("at"))["id"], F.lit(0))
+    return after.select("scan_id", version.cast("long").alias("version"), F.col("at").cast("int").alias("undo_steps"), (F.size("v") - 1 - F.col("at")).cast("int").alias("redo_steps"))
 
 
 # ---- reads compared -----------------------------------------------------------------------

@@ -367,15 +367,26 @@ def _(t):
     return mlprep.class_metrics(one.unionByName(two))
 
 
-@query(
-    "ml_temperature",
-    """WITH g AS (SELECT EXP(LN(0.05) + (LN(20.0) - LN(0.05)) * i / 60) AS t FROM RANGE(0, 61) r(i)),
-       s AS (SELECT t, ROUND(AVG(-GREATEST(l[target + 1] / t - top / t - LN(list_sum([EXP(x / t - top / t) FOR x IN l])), LN(1e-12))), 9) AS loss FROM f_probs CROSS JOIN g GROUP BY t),
-       b AS (SELECT arg_min(t, (loss, t)) AS t, MIN(loss) AS loss FROM s), p AS (SELECT AVG(-GREATEST(l[target + 1] - top - LN(list_sum([EXP(x - top) FOR x IN l])), LN(1e-12))) AS plain, COUNT(*) AS n, COUNT(*) FILTER (predicted <> target) AS errors FROM f_probs)
-       SELECT ROUND(CASE WHEN b.loss > p.plain THEN 1.0 ELSE b.t END, 6) AS temperature, n, errors FROM b, p""",
-)
+def _temperature_sql() -> str:
+    """Bisection on the sign of the slope of the mean loss, by the logarithm of the temperature."""
+    z = "list_sum([EXP((x - top) / t) FOR x IN l])"
+    log_p = f"(l[target + 1] - top) / t - LN({z})"
+    slope = f"AVG(CASE WHEN {log_p} > LN(1e-12) THEN list_sum([x * EXP((x - top) / t) FOR x IN l]) / {z} - l[target + 1] ELSE 0 END)"
+    steps = ["b0 AS (SELECT 0.05::DOUBLE AS low, 20.0::DOUBLE AS high)"]
+    for k in range(40):
+        # a rising slope in 1 / t: above zero, the least loss lies at a higher temperature
+        steps.append(
+            f"b{k + 1} AS MATERIALIZED (SELECT CASE WHEN g > 0 THEN t ELSE low END AS low, CASE WHEN g > 0 THEN high ELSE t END AS high FROM"
+            f" (SELECT low, high, t, {slope} AS g FROM f_probs, (SELECT low, high, SQRT(low * high) AS t FROM b{k}) m GROUP BY ALL) s)"
+        )
+    loss = "AVG(-GREATEST({0}, LN(1e-12)))"
+    return f"""WITH {", ".join(steps)}, e AS (SELECT t, {loss.format(log_p)} AS loss, {loss.format("l[target + 1] - top - LN(list_sum([EXP(x - top) FOR x IN l]))")} AS plain, COUNT(*) AS n, COUNT(*) FILTER (predicted <> target) AS errors
+       FROM f_probs, (SELECT SQRT(low * high) AS t FROM b40) m GROUP BY t) SELECT ROUND(CASE WHEN loss > plain THEN 1.0 ELSE t END, 4) AS temperature, n, errors FROM e"""
+
+
+@query("ml_temperature", _temperature_sql())
 def _(t):
-    return mlprep.fit_temperature(logits(t), mlprep.temperature_grid())
+    return mlprep.fit_temperature(logits(t)).withColumn("temperature", F.round("temperature", 4))
 
 
 _U = "CAST('0x' || SUBSTR(MD5('7:' || scan_id || ':' || name || ':{0}'), 1, 8) AS BIGINT) / 4294967296.0"
@@ -392,11 +403,11 @@ def _(t):
 
 @query("ml_palette")
 def _(t):
-    # One colour per measured bubble and three of paper around it
+    # One colour per measured bubble and three of paper around it, on every sheet
     level = F.col("mean_intensity").cast("int")
-    ink = t.bubbles.select((level * 9 / 10).cast("int").alias("b"), (level * 3 / 4).cast("int").alias("g"), level.alias("r"), F.lit(1).alias("n"))
-    paper = t.bubbles.select(F.lit(250).alias("b"), F.lit(252).alias("g"), F.lit(251).alias("r"), F.lit(3).alias("n"))
-    return mlprep.palette(ink.unionByName(paper))
+    ink = t.bubbles.select("scan_id", (level * 9 / 10).cast("int").alias("b"), (level * 3 / 4).cast("int").alias("g"), level.alias("r"), F.lit(1).alias("n"))
+    paper = t.bubbles.select("scan_id", F.lit(250).alias("b"), F.lit(252).alias("g"), F.lit(251).alias("r"), F.lit(3).alias("n"))
+    return mlprep.palette(ink.unionByName(paper), "scan_id")
 
 
 @query(

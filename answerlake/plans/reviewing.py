@@ -479,7 +479,15 @@ def _(t):
     return listing.upsert(t.assign.select("scan_id", "reviewer"), new, ["scan_id"])
 
 
-@query("rv_undo")
+@query(
+    "rv_undo",
+    """WITH RECURSIVE l AS (SELECT event_id % 1500 AS scan_id, event_id AS id, CASE event_type WHEN 'error' THEN 'undo' WHEN 'view' THEN 'redo' ELSE 'edit' END AS action,
+         ROW_NUMBER() OVER (PARTITION BY event_id % 1500 ORDER BY event_id) AS i FROM events WHERE event_type IN ('click', 'signup', 'error', 'view')),
+       s AS (SELECT DISTINCT scan_id, 0::BIGINT AS i, [0::BIGINT] AS v, 0 AS c FROM l
+         UNION ALL SELECT l.scan_id, l.i, CASE WHEN action = 'edit' THEN list_append(v[GREATEST(c - 18, 1) : c + 1], l.id) ELSE v END,
+           CASE action WHEN 'edit' THEN LEAST(c + 1, 20) WHEN 'undo' THEN GREATEST(c - 1, 0) ELSE LEAST(c + 1, len(v) - 1) END FROM s JOIN l ON l.scan_id = s.scan_id AND l.i = s.i + 1)
+       SELECT scan_id, v[c + 1] AS version, CAST(c AS INTEGER) AS undo_steps, CAST(len(v) - 1 - c AS INTEGER) AS redo_steps FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY scan_id ORDER BY i DESC) = 1""",
+)
 def _(t):
     action = (
         F.when(F.col("event_type").isin("click", "signup"), "edit")
