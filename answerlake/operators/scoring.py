@@ -248,3 +248,59 @@ def regrade_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return old.join(new, "scan_id", "full").where(
         ~F.col("score_before").eqNullSafe(F.col("score_after"))
     )
+
+
+def merge_reads(before: DataFrame, log: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Old reads, corrections and new reads of every item as one row: a three-way merge in one aggregation.
+
+    before(scan_id, name, value) are the values first read, log(scan_id, name, id, new_value) the corrections,
+    of which the last of an item counts, and fresh(scan_id, name, value) the new reads. A correction that
+    differs from the first value is kept where the item is read again, whatever the new read says, and dropped
+    where it is gone. Result: (scan_id, name, old_value, new_value, read_value, kept, dropped), with the values that
+    stand before and after, and the new read beneath a kept correction.
+    """
+    null = F.lit(None).cast("string")
+    parts = (
+        (before, {"base": F.col("value")}),
+        (log, {"edit": F.struct("id", F.col("new_value").alias("value"))}),
+        (fresh, {"again": F.struct(F.col("value").alias("value"))}),
+    )
+    rows = None
+    for df, own in parts:
+        part = df.select("scan_id", "name", *[c.alias(n) for n, c in own.items()])
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    one = rows.groupBy("scan_id", "name").agg(
+        F.max("base").alias("base"), F.max_by("edit", "edit.id")["value"].alias("mine"), F.max("again").alias("again")
+    )
+    edited = F.col("mine").isNotNull() & ~F.col("mine").eqNullSafe(F.col("base"))
+    there = F.col("again").isNotNull()
+    return one.select(
+        "scan_id",
+        "name",
+        F.when(edited, F.col("mine")).otherwise(F.col("base")).alias("old_value"),
+        F.when(there & edited, F.col("mine")).when(there, F.col("again.value")).otherwise(null).alias("new_value"),
+        F.col("again.value").alias("read_value"),
+        (edited & there).alias("kept"),
+        (edited & ~there).alias("dropped"),
+    )
+
+
+def regrade(
+    before: DataFrame, log: DataFrame, fresh: DataFrame, old_key: DataFrame, new_key: DataFrame, options: Options = Options()
+) -> DataFrame:
+    """Sheets read again under another key: scores before and after, corrections kept and dropped.
+
+    Rows of sheets whose score changes or that had corrections; kept and dropped are sorted lists of names.
+    """
+    merged = merge_reads(before, log, fresh)
+    old = grade(merged.select("scan_id", "name", F.col("old_value").alias("value")).where("value IS NOT NULL"), old_key, options)
+    new = grade(merged.select("scan_id", "name", F.col("new_value").alias("value")).where("value IS NOT NULL"), new_key, options)
+    listed = merged.groupBy("scan_id").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col(c), F.col("name")))).alias(c) for c in ("kept", "dropped")]
+    )
+    scores = [
+        rows.groupBy("scan_id").agg(F.sum("delta").alias(name)) for rows, name in ((old, "score_before"), (new, "score_after"))
+    ]
+    changed = ~F.col("score_before").eqNullSafe(F.col("score_after")) | (F.size("kept") > 0) | (F.size("dropped") > 0)
+    out = listed.join(scores[0], "scan_id", "left").join(scores[1], "scan_id", "left")
+    return out.where(changed).select("scan_id", "score_before", "score_after", "kept", "dropped")

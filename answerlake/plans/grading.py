@@ -212,19 +212,36 @@ def _(t):
 _OTHER_KEY = [r if r[0] != "q2" else ("q2", 2, "DEFAULT", "A", 3.0) for r in KEY_ROWS]
 
 
+# Sheets of a third batch are read again without their fourth item; some corrections were taken back later
+_AGAIN = """SELECT scan_id, pos, name, CASE WHEN (scan_id + pos) % 6 = 0 THEN 'N' ELSE value END AS value FROM f_cells WHERE NOT (scan_id % 10 = 0 AND pos = 4)"""
+_MERGED = f"""SELECT b.scan_id, b.name, b.pos, COALESCE(e.v, b.value) AS old_value, CASE WHEN n.value IS NOT NULL THEN COALESCE(e.v, n.value) END AS new_value, e.v IS NOT NULL AS edited, n.value IS NOT NULL AS there
+  FROM f_cells b LEFT JOIN ({_AGAIN}) n ON n.scan_id = b.scan_id AND n.name = b.name LEFT JOIN (SELECT scan_id, name, new_value AS v FROM f_corrections WHERE scan_id % 15 <> 0 AND new_value <> original_value) e ON e.scan_id = b.scan_id AND e.name = b.name"""
+
+
+def _scored(column: str) -> str:
+    return _GRADED.format(before="", marks="").replace("f_cells c", f"(SELECT scan_id, name, {column} AS value FROM m WHERE {column} IS NOT NULL) c")
+
+
 @query(
     "sc_regrade",
-    """SELECT o.scan_id, o.score AS score_before, n.score AS score_after FROM
-       (SELECT scan_id, SUM(delta) AS score FROM f_graded GROUP BY 1) o
-       JOIN (SELECT scan_id, SUM(CASE WHEN question <> 'q2' THEN delta WHEN marked = '' THEN 0
-             WHEN marked = 'A' THEN 3 ELSE -1 END) AS score FROM f_graded GROUP BY 1) n
-       ON n.scan_id = o.scan_id WHERE o.score <> n.score""",
+    f"""WITH m AS MATERIALIZED ({_MERGED}), o AS (SELECT scan_id, SUM(delta) AS score FROM ({_scored("old_value")}) g GROUP BY 1),
+       n AS (SELECT scan_id, SUM(CASE WHEN question <> 'q2' THEN delta WHEN marked = '' THEN 0 WHEN marked = 'A' THEN 3 ELSE -1 END) AS score FROM ({_scored("new_value")}) g GROUP BY 1),
+       k AS (SELECT scan_id, COALESCE(STRING_AGG(name, ',' ORDER BY name) FILTER (edited AND there), '') AS kept, COALESCE(STRING_AGG(name, ',' ORDER BY name) FILTER (edited AND NOT there), '') AS dropped FROM m GROUP BY 1)
+       SELECT k.scan_id, o.score AS score_before, n.score AS score_after, kept, dropped FROM k LEFT JOIN o ON o.scan_id = k.scan_id LEFT JOIN n ON n.scan_id = k.scan_id
+       WHERE o.score IS DISTINCT FROM n.score OR kept <> '' OR dropped <> ''""",
 )
 def _(t):
-    other = scoring.answer_key(t.spark, _OTHER_KEY)
-    return scoring.regrade_changes(
-        scoring.score_sheets(graded(t)), scoring.score_sheets(scoring.grade(t.cells, other))
+    total = F.col("scan_id") + F.col("pos")
+    fresh = t.cells.where(~((F.col("scan_id") % 10 == 0) & (F.col("pos") == 4))).select(
+        "scan_id", "name", F.when(total % 6 == 0, "N").otherwise(F.col("value")).alias("value")
+    )
+    # The second entry of every third corrected sheet takes the correction back
+    both = F.when(F.col("scan_id") % 15 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    log = t.corrections.withColumn("id", F.explode(both)).select(
+        "scan_id", "name", "id", F.when(F.col("id") == 2, F.col("original_value")).otherwise(F.col("new_value")).alias("new_value")
     )
+    changes = scoring.regrade(t.cells, log, fresh, t.key, scoring.answer_key(t.spark, _OTHER_KEY))
+    return changes.withColumns({c: F.array_join(c, ",") for c in ("kept", "dropped")})
 
 
 @query(

@@ -234,9 +234,33 @@ def decided(t: Tables):
     return compare.decide(items, decision_log(items))
 
 
-@query("cp_decide", "SELECT scan_id, name, external, ours, chosen, source, decided_by FROM f_decided")
+_START, _LOCK = 1704067200000000, 3 * 86400
+
+
+# Four events on every sheet, and decisions some minutes to hours after one of them; the same text in both dialects
+_EVENT_US = f"{_START} + (scan_id * 104729 + j * 7000) % 2592000 * CAST(1000000 AS BIGINT)"
+_DECIDED_US = f"{_START} + ((scan_id * 104729 + id % 3 * 7000) % 2592000 + CAST(SUBSTR(name, 2) AS BIGINT) * 997 + scan_id % 3600) * CAST(1000000 AS BIGINT)"
+_EVENT_USER = "CASE WHEN j = 0 THEN CONCAT('u', CAST(scan_id % 6 AS STRING)) ELSE CONCAT('v', CAST(scan_id % 211 AS STRING)) END"
+
+
+@query(
+    "cp_decide",
+    f"""WITH c AS (SELECT scan_id * 4 + j AS id, scan_id, {_EVENT_USER} AS "user", CASE WHEN j = 2 THEN 'release' ELSE 'claim' END AS action, {_EVENT_US} AS us FROM (SELECT DISTINCT scan_id FROM f_cmp) x, RANGE(0, 4) r(j)),
+       s AS (SELECT *, LEAD(us) OVER (PARTITION BY scan_id ORDER BY us, id) AS sheet_next FROM c), u AS (SELECT *, LEAD(us) OVER (PARTITION BY "user" ORDER BY us, id) AS user_next FROM s WHERE action = 'claim'),
+       h AS (SELECT scan_id, "user", us, LEAST(us + {_LOCK * 1000000 + 1}, COALESCE(sheet_next, us + {_LOCK * 1000000 + 1}), COALESCE(user_next, us + {_LOCK * 1000000 + 1})) AS until FROM u),
+       d AS (SELECT l.*, {_DECIDED_US} AS us FROM f_log l),
+       g AS (SELECT d.*, (SELECT MAX(h."user") FROM h WHERE h.scan_id = d.scan_id AND h.us <= d.us AND d.us < h.until AND h."user" <> d."user") AS holder FROM d),
+       z AS (SELECT scan_id, name, arg_max({{'source': source, 'value': value, 'who': "user"}}, id) FILTER (holder IS NULL) AS e, COUNT(holder) AS refused, arg_max(holder, id) FILTER (holder IS NOT NULL) AS held_by FROM g GROUP BY ALL)
+       SELECT i.scan_id, i.name, i.external, i.ours, CASE e.source WHEN 'external' THEN i.external WHEN 'ours' THEN i.ours WHEN 'manual' THEN e.value END AS chosen, e.source AS source,
+         CASE WHEN e.source IS NOT NULL THEN e.who END AS decided_by, COALESCE(refused, 0) AS refused, held_by FROM f_cmp i LEFT JOIN z ON z.scan_id = i.scan_id AND z.name = i.name""",
+)
 def _(t):
-    return decided(t).drop("place")
+    items = stored_items(t)
+    log = decision_log(items).withColumn("us", F.expr(_DECIDED_US))
+    events = items.select("scan_id").distinct().withColumn("j", F.explode(F.array(*map(F.lit, range(4)))))
+    action = F.when(F.col("j") == 2, "release").otherwise("claim")
+    events = events.select((F.col("scan_id") * 4 + F.col("j")).alias("id"), "scan_id", F.expr(_EVENT_USER).alias("user"), action.alias("action"), F.expr(_EVENT_US).alias("us"))
+    return compare.decide(items, log, events, _LOCK).drop("place")
 
 
 @query("wn_last_decision", "SELECT scan_id, name, source, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY scan_id, name ORDER BY id DESC) AS rk FROM f_log) l WHERE rk = 1")
@@ -352,13 +376,16 @@ VIEWS["f_held"] = f"""WITH c AS ({_CLAIMS}), p AS (SELECT * FROM c WHERE us <= {
   SELECT l.scan_id, l."user" FROM l WHERE l.action = 'claim' AND l.us >= {NOW} - 86400000000 AND l.id = (SELECT MAX(p.id) FROM p WHERE p.action = 'claim' AND p."user" = l."user")"""
 
 
-def held(t: Tables):
+def claims(t: Tables):
     action = F.when(F.col("action") == "assigned", "claim").otherwise("release")
-    claims = t.activity.where("action IN ('assigned', 'scanned')").select(
+    return t.activity.where("action IN ('assigned', 'scanned')").select(
         "id", "scan_id", F.col("reviewer").alias("user"), action.alias("action"), micros("at").alias("us")
     )
+
+
+def held(t: Tables):
     # A day instead of ten minutes: the table's events are minutes apart
-    return compare.holders(claims, NOW, lock_seconds=86400)
+    return compare.holders(claims(t), NOW, lock_seconds=86400)
 
 
 @query("cp_lock", 'SELECT scan_id, "user" FROM f_held')

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from answerlake.operators import compare, export, review
+from answerlake.operators import compare, export, review, scoring
 from answerlake.streaming import intake
 
 
@@ -86,3 +86,52 @@ def test_export_plan():
     assert [c.key for c in columns] == ["scan_id", "score", "score_S", "score_band", "q1", "q1_flags", "zz", "zz_flags", "roll", "roll_flags", "q1_2", "q1_flags_2"]
     assert len(warnings) == 2
     assert export.output_columns(["q10", "q2", "r1", "r2"], {"roll": ["r1", "r2"]}, ["final"]) == ["q2", "q10", "roll", "final"]
+
+
+def test_a_sheet_someone_else_holds_is_refused(spark):
+    second = 1_000_000
+    claims = spark.createDataFrame(
+        [(1, 7, "asha", "claim", 0), (2, 8, "ravi", "claim", 0), (3, 7, "asha", "release", 300 * second), (4, 8, "asha", "claim", 5000 * second), (5, 9, "asha", "claim", 5010 * second), (6, 9, "ravi", "claim", 5010 * second)],
+        "id long, scan_id long, user string, action string, us long",
+    )
+    spans = {(r["scan_id"], r["user"], r["us"] // second): r["until"] for r in compare.hold_intervals(claims).collect()}
+    assert spans == {
+        (7, "asha", 0): 300 * second, (8, "ravi", 0): 600 * second + 1, (8, "asha", 5000): 5010 * second, (9, "asha", 5010): 5010 * second, (9, "ravi", 5010): 5610 * second + 1,
+    }
+    items = spark.createDataFrame([(s, n, "E", "O") for s in (7, 8, 9) for n in ("q1", "q2")], "scan_id long, name string, external string, ours string")
+    log = spark.createDataFrame(
+        [
+            (1, 7, "q1", "ravi", "ours", None, 100),  # asha holds it
+            (2, 7, "q1", "asha", "external", None, 120),
+            (3, 7, "q2", "ravi", "ours", None, 300),  # released
+            (4, 8, "q1", "asha", "ours", None, 600),  # ravi's claim is just fresh
+            (5, 8, "q2", "asha", "manual", "M", 601),  # stale now
+            (6, 8, "q2", "ravi", "ours", None, 5005),
+            (7, 9, "q1", "asha", None, None, 5011),  # an undo counts as a decision
+        ],
+        "id long, scan_id long, name string, user string, source string, value string, us long",
+    ).withColumn("us", F.col("us") * second)
+    out = {(r["scan_id"], r["name"]): (r["chosen"], r["decided_by"], r["refused"], r["held_by"]) for r in compare.decide(items, log, claims).collect()}
+    assert out == {
+        (7, "q1"): ("E", "asha", 1, "asha"), (7, "q2"): ("O", "ravi", 0, None), (8, "q1"): (None, None, 1, "ravi"),
+        (8, "q2"): ("M", "asha", 1, "asha"), (9, "q1"): (None, None, 1, "ravi"), (9, "q2"): (None, None, 0, None),
+    }
+
+
+def test_regrade_keeps_and_drops_corrections(spark):
+    before = spark.createDataFrame([(1, "q1", "A"), (1, "q2", "B"), (1, "q3", ""), (2, "q1", "A"), (3, "q1", "B")], "scan_id long, name string, value string")
+    log = spark.createDataFrame(
+        [(1, "q1", 1, "B"), (1, "q1", 2, "C"), (1, "q2", 3, "A"), (1, "q2", 4, "B"), (1, "q3", 5, "D"), (2, "q9", 6, "X")],
+        "scan_id long, name string, id long, new_value string",
+    )
+    fresh = spark.createDataFrame([(1, "q1", "C"), (1, "q2", "D"), (2, "q1", "B"), (3, "q1", "B")], "scan_id long, name string, value string")
+    key = scoring.answer_key(spark, [("q1", 1, "DEFAULT", "A", 1.0), ("q3", 3, "DEFAULT", "D", 1.0)])
+    new = scoring.answer_key(spark, [("q1", 1, "DEFAULT", "C", 1.0), ("q2", 2, "DEFAULT", "D", 2.0)])
+    rows = {(r["scan_id"], r["name"]): (r["old_value"], r["new_value"], r["kept"], r["dropped"]) for r in scoring.merge_reads(before, log, fresh).collect()}
+    assert rows == {
+        (1, "q1"): ("C", "C", True, False), (1, "q2"): ("B", "D", False, False), (1, "q3"): ("D", None, False, True),
+        (2, "q1"): ("A", "B", False, False), (2, "q9"): ("X", None, False, True), (3, "q1"): ("B", "B", False, False),
+    }
+    wrong = scoring.SCHEMES["DEFAULT"][1]
+    out = {r["scan_id"]: (r["score_before"], r["score_after"], r["kept"], r["dropped"]) for r in scoring.regrade(before, log, fresh, key, new).collect()}
+    assert out == {1: (wrong + 1, 3.0, ["q1"], ["q3"]), 2: (1.0, wrong, [], ["q9"])}
