@@ -184,15 +184,43 @@ def _clip(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
 
 
-def mark_adaptive(bubbles: DataFrame, thresholds: DataFrame, p: Thresholds = Thresholds()):
-    """Marked when darker than the field's threshold; confidence by the distance to it."""
-    away = F.abs(F.col("threshold") - F.col("mean_intensity")) / p.margin
-    return (
-        bubbles.drop("marked")
-        .join(thresholds.select("scan_id", "name", "threshold", "low_confidence"), ["scan_id", "name"])
-        .withColumn("marked", F.col("threshold") > F.col("mean_intensity"))
-        .withColumn("confidence", F.round(_clip(away), 3))
+def marked_fields(bubbles: DataFrame, p: Thresholds = Thresholds(), extra: Sequence[str] = ()) -> DataFrame:
+    """Every field of every sheet with its marked bubbles: (scan_id, name, bubbles, low_confidence, ..).
+
+    The sheet frame: bubbles(scan_id, name, opt_pos, opt, mean_intensity, fill_ratio, *extra) are read and dealt
+    by sheet once. A field's bubbles stay one array, in template order, from the thresholds to the summary,
+    a bubble is marked when it is darker than its field's threshold, and its confidence is the distance to it.
+    Rows stay dealt by sheet, so decisions per sheet that follow need no further shuffle.
+    """
+    keep = ["opt_pos", "opt", "mean_intensity", "fill_ratio", *extra]
+    strips = (
+        bubbles.repartition("scan_id")
+        .groupBy("scan_id", "name")
+        .agg(
+            F.array_sort(F.collect_list(F.struct(*keep))).alias("bubbles"),
+            F.round(F.stddev_pop("mean_intensity"), 2).alias("std"),
+        )
     )
+    sheets = strips.groupBy("scan_id").agg(F.collect_list(F.struct("name", "std", "bubbles")).alias("fields"))
+    every = F.flatten(F.transform("fields", lambda f: F.transform(f["bubbles"], lambda b: b["mean_intensity"])))
+    sheets = add_global_threshold(sheets.withColumn("_all", F.array_sort(every)), "_all", 4, "page_threshold", p)
+    sheets = sheets.withColumn("_std", F.array_sort(F.col("fields.std")))
+    sheets = add_global_threshold(sheets, "_std", 1, "std_threshold", p)
+    rows = sheets.select("scan_id", "page_threshold", "std_threshold", F.inline("fields"))
+    rows = rows.withColumn("_strip", F.array_sort(F.col("bubbles.mean_intensity")))
+    rows = add_local_threshold(rows, "_strip", "page_threshold", F.col("std") < F.col("std_threshold"), p)
+
+    def mark(b: Column) -> Column:
+        away = F.abs(F.col("threshold") - b["mean_intensity"]) / p.margin
+        marked = b.withField("marked", F.col("threshold") > b["mean_intensity"])
+        return marked.withField("confidence", F.round(_clip(away), 3))
+
+    return rows.withColumn("bubbles", F.transform("bubbles", mark)).drop("_strip")
+
+
+def mark_adaptive(bubbles: DataFrame, p: Thresholds = Thresholds(), extra: Sequence[str] = ()) -> DataFrame:
+    """Bubbles, one row each, marked when darker than their field's threshold; see `marked_fields`."""
+    return marked_fields(bubbles, p, extra).select("scan_id", "name", "threshold", "low_confidence", F.inline("bubbles"))
 
 
 def mark_fixed(bubbles: DataFrame, min_fill: float = 0.12) -> DataFrame:
@@ -274,8 +302,10 @@ def field_value(bubbles: Column, empty: str = "") -> Column:
     return F.when(F.size(marked) > 0, joined).otherwise(empty)
 
 
-def summarize(field: DataFrame, rules: FieldRules = FieldRules(), empty: str = "") -> DataFrame:
-    """Value, least confidence, flags and the review decision of each field."""
+def summarize(
+    field: DataFrame, rules: FieldRules = FieldRules(), empty: str = "", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Value, least confidence, flags and the review decision of each field, with the columns to keep."""
     bubbles = F.col("bubbles")
     has = {f.name for f in field.schema["bubbles"].dataType.elementType.fields}
     n = F.size(F.filter(bubbles, lambda b: b["marked"]))
@@ -311,6 +341,7 @@ def summarize(field: DataFrame, rules: FieldRules = FieldRules(), empty: str = "
         confidence.alias("confidence"),
         F.array_sort(F.array_distinct(flags)).alias("flags"),
         n.alias("marked_count"),
+        *keep,
     ).withColumn("needs_review", review)
 
 
@@ -422,24 +453,23 @@ def quality_flags(limits: dict[str, float]) -> Column:
 
 
 def fast_accept(
-    sheets: DataFrame, readings: DataFrame, bubbles: DataFrame, empty_max=0.25, marked_min=0.6
+    sheets: DataFrame, field: DataFrame, rules: FieldRules = FieldRules(), empty_max=0.25, marked_min=0.6
 ) -> DataFrame:
-    """Sheets whose cheap read is final: nothing to review and every bubble clear."""
-    unclear = F.when(F.col("marked"), F.col("fill_ratio") < marked_min).otherwise(
-        F.col("fill_ratio") > empty_max
+    """Sheets whose cheap read is final: nothing to review and every bubble clear.
+
+    `field` is the sheet frame (`marked_fields`): unclear bubbles and harmful flags of a sheet are found in
+    one aggregation of its fields, which are dealt by sheet already.
+    """
+    foggy = F.exists(
+        "bubbles", lambda b: F.when(b["marked"], b["fill_ratio"] < marked_min).otherwise(b["fill_ratio"] > empty_max)
     )
-    foggy = bubbles.groupBy("scan_id").agg(F.bool_or(unclear).alias("unclear"))
+    rows = summarize(field.withColumn("_foggy", foggy), rules, keep=["_foggy"])
     harmful = F.size(F.array_remove("flags", "empty")) > 0
-    flagged = readings.groupBy("scan_id").agg(F.bool_or(harmful).alias("harmful"))
-    accepted = (
-        (F.col("status") == "ok")
-        & ~F.coalesce("unclear", F.lit(False))
-        & ~F.coalesce("harmful", F.lit(False))
-    )
+    bad = rows.groupBy("scan_id").agg(F.bool_or(F.col("_foggy") | harmful).alias("_bad"))
+    accepted = (F.col("status") == "ok") & ~F.coalesce("_bad", F.lit(False))
     return (
         sheets.select("scan_id", "status")
-        .join(foggy, "scan_id", "left")
-        .join(flagged, "scan_id", "left")
+        .join(bad, "scan_id", "left")
         .select("scan_id", F.when(accepted, "fast").otherwise("full").alias("read_pass"))
     )
 

@@ -44,7 +44,7 @@ def thresholds(t: Tables):
 
 
 def marked(t: Tables):
-    return decode.mark_adaptive(t.bubbles, thresholds(t))
+    return decode.marked_fields(t.bubbles)
 
 
 @query("dc_strip_std", "SELECT scan_id, name, std FROM f_std")
@@ -105,7 +105,7 @@ def _(t):
 
 @query("dc_mark_adaptive", "SELECT scan_id, name, opt, marked, confidence FROM f_marked")
 def _(t):
-    return marked(t).select("scan_id", "name", "opt", "marked", "confidence")
+    return decode.mark_adaptive(t.bubbles).select("scan_id", "name", "opt", "marked", "confidence")
 
 
 _FIXED = "SELECT *, fill_ratio >= 0.12 AS on_mark, ROUND(LEAST(ABS(fill_ratio - 0.12) / 0.12, 1), 3) AS conf FROM f_bubbles"
@@ -153,7 +153,7 @@ _DOUBLE = decode.FieldRules(keep_darker_gap=0.2, strict_double_mark=0.28)
        CASE WHEN darker THEN 'kept_darker_mark' WHEN has AND faint THEN 'faint_second_mark' ELSE '' END AS flag FROM r JOIN d ON d.scan_id = r.scan_id AND d.name = r.name GROUP BY r.scan_id, r.name, darker, has, faint""",
 )
 def _(t):
-    out = decode.double_marks(decode.fields(marked(t)), _DOUBLE)
+    out = decode.double_marks(marked(t), _DOUBLE)
     value = F.nullif(decode.field_value(F.col("bubbles")), F.lit(""))
     return out.select("scan_id", "name", value.alias("value"), F.array_join("mark_flags", ",").alias("flag"))
 
@@ -175,7 +175,7 @@ def _(t):
 
 @query("dc_field_value", "SELECT scan_id, name, COALESCE(STRING_AGG(opt, '' ORDER BY opt_pos) FILTER (marked), '') AS value FROM f_marked GROUP BY 1, 2")
 def _(t):
-    return decode.fields(marked(t)).select("scan_id", "name", decode.field_value(F.col("bubbles")).alias("value"))
+    return marked(t).select("scan_id", "name", decode.field_value(F.col("bubbles")).alias("value"))
 
 
 VIEWS["f_summary"] = """SELECT scan_id, name, value, confidence, marked_count, ARRAY_TO_STRING(list_sort(list_filter([CASE WHEN marked_count > 1 THEN 'multi_marked' END, CASE WHEN marked_count = 0 THEN 'empty' END,
@@ -185,7 +185,7 @@ VIEWS["f_summary"] = """SELECT scan_id, name, value, confidence, marked_count, A
 
 
 def readings(t: Tables):
-    return decode.summarize(decode.fields(marked(t)))
+    return decode.summarize(marked(t))
 
 
 @query("dc_field_summary", "SELECT scan_id, name, value, confidence, flags, needs_review FROM f_summary")
@@ -206,7 +206,7 @@ def _(t):
        LEFT JOIN (SELECT scan_id, BOOL_OR(flags NOT IN ('', 'empty')) AS harmful FROM f_summary GROUP BY 1) r ON r.scan_id = s.scan_id""",
 )
 def _(t):
-    return decode.fast_accept(t.scans, readings(t), marked(t))
+    return decode.fast_accept(t.scans, marked(t))
 
 
 @query(

@@ -37,3 +37,12 @@ def test_answer_key_is_broadcast_by_its_known_size(spark):
 def test_rule_chain_has_one_shuffle_after_the_readings(spark):
     cells, chain = plan(Tables(spark, SF).cells), plan(catalog.queries()["rl_chain"](spark, SF))
     assert chain.count("Exchange") == cells.count("Exchange") + 1
+
+
+@pytest.mark.parametrize("name,scans,shuffles", [("dc_field_summary", 1, 2), ("dc_sheet_multi", 1, 2), ("dc_mark_adaptive", 1, 2), ("dc_double_marks", 1, 2), ("dc_field_value", 1, 2), ("dc_fast_accept", 2, 3)])
+def test_sheet_frame_is_dealt_once(spark, name, scans, shuffles):
+    """One shuffle makes the cells of the table, one deals them by sheet; the sheets' own table is a second scan."""
+    frame = catalog.queries()[name](spark, SF)
+    # read before adaptive execution takes exchanges out
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == scans and text.count("Exchange hashpartitioning") <= shuffles
