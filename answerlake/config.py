@@ -12,8 +12,8 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-# How a run of numbered names is written, q1..q50, q1..50 or q1...50.
-RUN = re.compile(r"(?P<stem>[^\d.]*)(?P<low>\d+)\.{2,3}(?P<again>[^\d.]*)(?P<high>\d+)")
+# Two or three dots stand between the first and the last name of a run, as in q1..q50 or q1...50.
+RUN_DOTS = (2, 3)
 
 
 def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: pa.Schema) -> DataFrame:
@@ -22,21 +22,32 @@ def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: pa.Schema) -
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
 
 
+def numbered_name(text: str) -> tuple[str, str]:
+    """What stands before the digits a name ends in, and these digits."""
+    end = len(text)
+    while end and text[end - 1].isdecimal():
+        end -= 1
+    return text[:end], text[end:]
+
+
 def names_of(text: str, strict: bool = False) -> list[str]:
     """The names of a run such as q1..q50; any other text names itself.
 
     strict, for fields of a template: the stem stands once, at least two names, no other dots.
     """
-    run = RUN.fullmatch(text)
-    if run is None:
-        if ("." if strict else "..") in text:
-            raise ValueError(f"{text!r} is not a run of names like q1..5")
+    if ("." if strict else "..") not in text:
         return [text]
-    low, high = int(run["low"]), int(run["high"])
-    fits = run["stem"] and not run["again"] and low < high if strict else run["again"] in ("", run["stem"]) and low <= high
-    if not fits:
+    first, last = text[: text.index(".")], text[text.rindex(".") + 1 :]
+    dots = text[len(first) : len(text) - len(last)]
+    (stem, low), (again, high) = numbered_name(first), numbered_name(last)
+    plain = not any(c.isdecimal() for c in stem + again)
+    if not (low and high and plain) or dots != "." * len(dots) or len(dots) not in RUN_DOTS:
+        raise ValueError(f"{text!r} is not a run of names like q1..5")
+    fewest = 2 if strict else 1
+    wanted = range(int(low), int(high) + 1)
+    if len(wanted) < fewest or (not stem or again if strict else again not in ("", stem)):
         raise ValueError(f"{text!r}: a run has one stem and rising numbers")
-    return [f"{run['stem']}{n}" for n in range(low, high + 1)]
+    return [f"{stem}{n}" for n in wanted]
 
 
 def names_in(text: str, between: str) -> list[str]:
