@@ -79,6 +79,12 @@ def split_by_label(rows: DataFrame, ident: str, label: str, share: float = 0.15,
     )
 
 
+def split(rows: DataFrame, group: str, ident: str, label: str, share: float = 0.15, seed: int = 0, least: int = 5) -> DataFrame:
+    """Train/validation by whole groups; with fewer than `least` groups, by rows of each label."""
+    few = rows.select(group).where(F.col(group).isNotNull()).distinct().limit(least).count() < least
+    return split_by_label(rows, ident, label, share, seed) if few else split_by_group(rows, group, share, seed)
+
+
 def label_order(rows: DataFrame, label: str, head: Sequence[str] = ("empty", "marked")) -> DataFrame:
     """Class index of every label: the head labels first, the others in order."""
     from pyspark.sql import Window
@@ -156,6 +162,14 @@ def class_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+def confusion_matrix(rows: DataFrame) -> DataFrame:
+    """(target, predicted, n) for every pair of classes that occur, pairs that never occur with 0."""
+    cells = rows.groupBy("target", "predicted").agg(F.count("*").alias("n"))
+    classes = cells.agg(F.array_union(F.collect_set("target"), F.collect_set("predicted")).alias("c"))
+    grid = classes.select("c", F.explode("c").alias("target")).select("target", F.explode("c").alias("predicted"))
+    return grid.join(cells, ["target", "predicted"], "left").fillna(0, ["n"])
+
+
 def _temperature_sums(rows: DataFrame, sharpness: float):
     """Sums over all rows at one sharpness (1 / temperature): loss and mean confidence, each with its slopes."""
     logits, target, s = F.col("logits"), F.col("target"), F.lit(sharpness)

@@ -234,6 +234,28 @@ def validate_key(key: DataFrame, filter_out_multi_marked: bool = False) -> DataF
     return repeated.unionByName(wide)
 
 
+def key_problems(questions: DataFrame, key: DataFrame, sections: DataFrame, filter_out_multi_marked: bool = False) -> DataFrame:
+    """Everything that is wrong with an answer table, one row (question, problem) each.
+
+    questions(question) are those the evaluation names, key(question, section, answers) the answers given, and
+    sections(section, question) the questions of the marking schemes: a question without an answer, an answer
+    without a question, a scheme's question that the evaluation does not name, a question of two schemes,
+    and what `validate_key` finds.
+    """
+    def named(rows: DataFrame, problem: str) -> DataFrame:
+        return rows.select("question").distinct().withColumn("problem", F.lit(problem))
+
+    asked, given, marked = questions.select("question"), key.select("question"), sections.select("question")
+    twice = sections.groupBy("question").agg(F.count_distinct("section").alias("n")).where("n > 1")
+    return (
+        validate_key(key, filter_out_multi_marked)
+        .unionByName(named(asked.join(given, "question", "left_anti"), "no answer"))
+        .unionByName(named(given.join(asked, "question", "left_anti"), "not a question"))
+        .unionByName(named(marked.join(asked, "question", "left_anti"), "in a section but not a question"))
+        .unionByName(named(twice, "in the schemes of several sections"))
+    )
+
+
 def key_from_responses(responses: DataFrame, master_scan, key: DataFrame) -> DataFrame:
     """The responses of a master sheet as a key; blank answers leave their question out."""
     return responses.where((F.col("scan_id") == F.lit(master_scan)) & (F.col("value") != "")).select(

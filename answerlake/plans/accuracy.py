@@ -310,10 +310,19 @@ def _(t):
 @query(
     "ml_split",
     """SELECT m.source, m.label, CASE WHEN place <= GREATEST(ROUND(total * 0.15), 1) THEN 'validation' ELSE 'train' END AS part, COUNT(*) AS n FROM f_manifest m JOIN
-       (SELECT source, ROW_NUMBER() OVER (ORDER BY MD5(source || ':0'), source) AS place, COUNT(*) OVER () AS total FROM (SELECT DISTINCT source FROM f_manifest) s) g ON g.source = m.source GROUP BY 1, 2, 3""",
+       (SELECT source, ROW_NUMBER() OVER (ORDER BY MD5(source || ':0'), source) AS place, COUNT(*) OVER () AS total FROM (SELECT DISTINCT source FROM f_manifest) s) g ON g.source = m.source GROUP BY 1, 2, 3
+       UNION ALL SELECT src, label, CASE WHEN place <= GREATEST(ROUND(total * 0.15), CASE WHEN total >= 2 THEN 1 ELSE 0 END) THEN 'validation' ELSE 'train' END, COUNT(*) FROM
+       (SELECT lang AS src, source AS label, ROW_NUMBER() OVER (PARTITION BY source ORDER BY MD5(doc_id || ':0'), doc_id) AS place, COUNT(*) OVER (PARTITION BY source) AS total FROM documents) d GROUP BY 1, 2, 3""",
 )
 def _(t):
-    return mlprep.split_by_group(manifest(t), "source").groupBy("source", "label", "part").agg(F.count("*").alias("n"))
+    # The texts come in four languages only, too few groups, so they are split by label
+    parts = [
+        mlprep.split(manifest(t), "source", "path", "label").select("source", "label", "part"),
+        mlprep.split(
+            t.raw("documents").select("doc_id", F.col("lang").alias("source"), F.col("source").alias("label")), "source", "doc_id", "label"
+        ).select("source", "label", "part"),
+    ]
+    return parts[0].unionByName(parts[1]).groupBy("source", "label", "part").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -384,6 +393,15 @@ def _temperature_sql() -> str:
        FROM f_probs, (SELECT SQRT(low * high) AS t FROM b40) m GROUP BY t) SELECT ROUND(CASE WHEN loss > plain THEN 1.0 ELSE t END, 4) AS temperature, n, errors FROM e"""
 
 
+@query(
+    "ag_confusion",
+    """WITH k AS (SELECT UNNEST(list_distinct(list_concat(list(target), list(predicted)))) AS c FROM f_probs), n AS (SELECT target, predicted, COUNT(*) AS n FROM f_probs GROUP BY ALL)
+       SELECT a.c AS target, b.c AS predicted, COALESCE(n.n, 0) AS n FROM k a CROSS JOIN k b LEFT JOIN n ON n.target = a.c AND n.predicted = b.c""",
+)
+def _(t):
+    return mlprep.confusion_matrix(logits(t).select("target", mlprep.predicted(F.col("logits")).alias("predicted")))
+
+
 @query("ml_temperature", _temperature_sql())
 def _(t):
     return mlprep.fit_temperature(logits(t)).withColumn("temperature", F.round("temperature", 4))

@@ -262,13 +262,20 @@ def label_rows(t: Tables):
     return t.scans.select(F.col("scan_id").alias("place"), own.alias("Name"), F.col("status").alias("label"))
 
 
-@query("src_label_file", "SELECT s.scan_id AS place, CASE WHEN s.scan_id % 5 <> 2 THEN s.status END AS label, (SELECT COUNT(*) FILTER (place % 5 <> 2) >= 0.5 * COUNT(*) FROM f_label_rows) AS names_files FROM f_scans s")
+_CHAR = "SUBSTR('ABCD *', CAST((scan_id + {0} * {0}) % 6 + 1 AS INTEGER), 1)"
+
+
+@query(
+    "src_label_file",
+    f"""SELECT s.scan_id AS place, CASE WHEN s.scan_id % 5 <> 2 THEN s.status END AS label, {", ".join(f"CASE WHEN s.scan_id % 5 <> 2 THEN TRIM({_CHAR.format(i)}) END AS q{i + 1}" for i in range(20))},
+       (SELECT COUNT(*) FILTER (place % 5 <> 2) >= 0.5 * COUNT(*) FROM f_label_rows) AS names_files FROM f_scans s""",
+)
 def _(t):
     images = t.scans.select(F.col("file_name").alias("image"), F.col("scan_id").alias("place"))
-    rows = label_rows(t)
+    chars = [F.expr(_CHAR.format(i).replace("scan_id", "place")) for i in range(20)]
+    rows = label_rows(t).withColumn("Given", F.concat(*chars))
     named = labels.hit_rate(rows, images, "Name").select("names_files").scalar()
-    matched = labels.match_labels(rows, images, "Name")
-    return matched.select("place", F.col("label.label").alias("label"), named.alias("names_files"))
+    return labels.read_labels(rows, images).select("place", "label.*", named.alias("names_files"))
 
 
 VIEWS["f_key_cells"] = """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN CHR(CAST(65 + p_size % 4 AS INTEGER)) WHEN 1 THEN CHR(CAST(65 + p_size % 4 AS INTEGER)) || ', E' ELSE '[["' || CHR(CAST(65 + p_size % 4 AS INTEGER)) || '", ' || (p_size % 5) || '], ["E", "3/2"]]' END AS cell FROM part"""
@@ -381,9 +388,8 @@ def _(t):
     rows = t.scans_seq.select("scan_id", "job_id", "seq", "file_name", "status")
     wide = rows.join(export.wide(t.cells, NAMES), "scan_id", "left").fillna("", NAMES).drop("scan_id")
     path = scratch(t.spark, "jobs")
-    # Files of a job hold its rows in order; a range per task, so a large job is several files
-    wide.repartitionByRange("job_id", "seq").sortWithinPartitions("job_id", "seq").write.parquet(path)
-    return t.spark.read.schema(wide.schema).parquet(path)
+    writers.write_job_tables(wide, path, "job_id", ["seq"])
+    return writers.read_table(t.spark, path, wide.schema)
 
 
 @query(
@@ -395,7 +401,10 @@ def _(t):
         F.array_join(F.array_sort(F.collect_set("name")), "|").alias("review")
     )
     rows = t.scans.select("scan_id", "file_name", "status", "score").join(waiting, "scan_id", "left")
-    return rows.join(export.wide(t.cells, NAMES), "scan_id", "left").fillna("", ["review", *NAMES]).drop("scan_id")
+    flat = rows.join(export.wide(t.cells, NAMES), "scan_id", "left").fillna("", ["review", *NAMES]).drop("scan_id")
+    path = scratch(t.spark, "flat")
+    writers.write_table(flat, path)
+    return writers.read_table(t.spark, path, flat.schema)
 
 
 @query(

@@ -283,14 +283,25 @@ def _(t):
 
 @query(
     "sc_key_checks",
-    """SELECT name AS question, COUNT(DISTINCT value) AS answers, COUNT(DISTINCT CASE WHEN LENGTH(value) > 1
-       THEN value END) AS wide FROM f_cells WHERE value <> '' GROUP BY 1""",
+    """WITH a AS (SELECT DISTINCT name, pos, value FROM f_cells WHERE value <> ''), q AS (SELECT DISTINCT name FROM f_cells WHERE pos <> 6 UNION SELECT 'q99'),
+       k AS (SELECT name, CASE WHEN pos % 2 = 0 THEN 'even' ELSE 'odd' END AS section, value FROM a UNION ALL SELECT name, 'first', value FROM a WHERE pos = 1),
+       s AS (SELECT DISTINCT CASE WHEN pos % 2 = 0 THEN 'even' ELSE 'odd' END AS section, name FROM a UNION SELECT 'high', name FROM a WHERE pos > 4)
+       SELECT name AS question, 'in several sections' AS problem FROM k GROUP BY 1 HAVING COUNT(DISTINCT section) > 1
+       UNION ALL SELECT DISTINCT name, 'needs a multi-mark' FROM k WHERE LENGTH(value) > 1
+       UNION ALL SELECT name, 'no answer' FROM q WHERE name NOT IN (SELECT name FROM k)
+       UNION ALL SELECT DISTINCT name, 'not a question' FROM k WHERE name NOT IN (SELECT name FROM q)
+       UNION ALL SELECT DISTINCT name, 'in a section but not a question' FROM s WHERE name NOT IN (SELECT name FROM q)
+       UNION ALL SELECT name, 'in the schemes of several sections' FROM s GROUP BY 1 HAVING COUNT(DISTINCT section) > 1""",
 )
 def _(t):
-    # Every answer given becomes a key candidate; wide ones are refused with the multi-mark filter
-    wide = F.when(F.length("value") > 1, F.col("value"))
-    return (
-        t.cells.where("value <> ''")
-        .groupBy(F.col("name").alias("question"))
-        .agg(F.count_distinct("value").alias("answers"), F.count_distinct(wide).alias("wide"))
-    )
+    # Every answer given is a key candidate, the first question in two sections; the sixth is none of the questions
+    given = t.cells.where("value <> ''").select("name", "pos", "value").distinct()
+    parity = F.when(F.col("pos") % 2 == 0, "even").otherwise("odd")
+    placed = given.withColumn("section", F.explode(F.when(F.col("pos") == 1, F.array(parity, F.lit("first"))).otherwise(F.array(parity))))
+    pairs = F.map_from_entries(F.collect_set(F.struct("value", F.lit(1.0))))
+    key = placed.groupBy(F.col("name").alias("question"), "section").agg(pairs.alias("answers"))
+    both = F.when(F.col("pos") > 4, F.array(parity, F.lit("high"))).otherwise(F.array(parity))
+    sections = given.select(F.col("name").alias("question"), F.explode(both).alias("section")).distinct()
+    asked = t.cells.where("pos <> 6").select(F.col("name").alias("question")).distinct()
+    asked = asked.unionByName(t.spark.createDataFrame([("q99",)], "question string"))
+    return scoring.key_problems(asked, key, sections, filter_out_multi_marked=True)
\ No newline at end of file

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlake.functions import values as vl
@@ -429,15 +432,32 @@ def _(t):
     return compare.other_jobs(t.scans, ext_rows(t), 3)
 
 
+_ASKED = ["S00042", "S0000", "42", "#3", "#999999999", "nowhere", "33"]
+
+
+def _found_sql(text: str) -> str:
+    if text.startswith("#"):
+        n = f"(SELECT scan_id, file_name, state FROM z WHERE state = 'pending' QUALIFY ROW_NUMBER() OVER (ORDER BY scan_id) = {text[1:]})"
+        return f"""SELECT '{text}' AS asked, r.scan_id, r.file_name, r.state, CASE WHEN r.scan_id IS NULL THEN 'there are ' || (SELECT COUNT(*) FROM z WHERE state = 'pending') || ' sheets to review' END AS problem FROM (SELECT 1) o LEFT JOIN {n} r ON TRUE"""
+    digits = "".join(c for c in text if c.isdigit())
+    low, key = text.lower(), digits.lstrip("0") or digits[:1]
+    hits = f"SELECT *, CASE WHEN '{key}' <> '' AND key = '{key}' THEN 1 WHEN LOWER(file_name) = '{low}' THEN 2 WHEN CONTAINS(LOWER(file_name), '{low}') THEN 3 END AS rank FROM z"
+    best = f"SELECT * FROM ({hits}) h WHERE rank IS NOT NULL QUALIFY rank = MIN(rank) OVER ()"
+    return f"""SELECT '{text}' AS asked, CASE WHEN ready = 1 THEN one.scan_id END AS scan_id, CASE WHEN ready = 1 THEN one.file_name END AS file_name, CASE WHEN ready = 1 THEN one.state END AS state,
+         CASE WHEN n = 0 THEN 'no sheet matches' WHEN ready = 0 THEN other.file_name || ' has nothing to review: ' || other.state WHEN ready > 1 THEN ready || ' sheets match' END AS problem
+       FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (state = 'pending') AS ready, arg_min({{'scan_id': scan_id, 'file_name': file_name, 'state': state}}, scan_id) FILTER (state = 'pending') AS one,
+         arg_min({{'scan_id': scan_id, 'file_name': file_name, 'state': state}}, scan_id) AS other FROM ({best}) b) c"""
+
+
 @query(
     "jn_find_sheet",
-    """SELECT scan_id, file_name, state, rank FROM (SELECT s.scan_id, o.file_name, s.state, CASE WHEN s.key = '42' THEN 1 WHEN LOWER(o.file_name) = 's00042' THEN 2 WHEN CONTAINS(LOWER(o.file_name), 's00042') THEN 3 END AS rank
-       FROM f_sheets s JOIN f_ours o ON o.scan_id = s.scan_id) x WHERE rank IS NOT NULL QUALIFY rank = MIN(rank) OVER ()""",
+    "WITH z AS (SELECT s.scan_id, s.key, o.file_name, s.state FROM f_sheets s JOIN f_ours o ON o.scan_id = s.scan_id) " + " UNION ALL ".join(map(_found_sql, _ASKED)),
 )
 def _(t):
     sheets, _ = sheets_and_items(t)
-    named = sheets.join(t.scans.select("scan_id", "file_name"), "scan_id")
-    return compare.find_sheet(named, "S00042").select("scan_id", "file_name", "state", "rank")
+    named = hand_over(sheets.join(t.scans.select("scan_id", "file_name"), "scan_id").select("scan_id", "key", "file_name", "state"), "named")
+    parts = [compare.find_sheet(named, text).withColumn("asked", F.lit(text)) for text in _ASKED]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _COLS = """SELECT DISTINCT CASE pos % 3 WHEN 0 THEN 'Q-0' || pos WHEN 1 THEN CAST(pos AS VARCHAR) ELSE 'q' || LPAD(CAST(pos AS VARCHAR), 3, '0') END AS "column" FROM f_cells UNION SELECT 'Extra 9'"""

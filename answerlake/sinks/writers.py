@@ -7,10 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from answerlake.operators import listing
 from answerlake.operators.export import ExportColumn, csv_columns
 
+# Texts as they are, blanks at their ends included
+PLAIN_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -21,6 +24,26 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[ExportColumn], delimit
     writer.option("quoteAll", False).option("escape", '"').csv(path)
 
 
+def write_job_tables(df: DataFrame, path: str, job: str, order: Sequence[str]) -> None:
+    """A folder of CSV files with headers per job, the rows of a job in order; a large job is several files.
+
+    Empty texts are quoted, so that reading keeps them apart from missing values.
+    """
+    rows = df.repartitionByRange(job, *order).sortWithinPartitions(job, *order)
+    rows.write.partitionBy(job).options(**PLAIN_CSV).csv(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """One flat CSV table with a header in every file."""
+    df.write.options(**PLAIN_CSV).csv(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What `write_table` or `write_job_tables` wrote; a quoted empty text stays one, nothing at all is null."""
+    reader = spark.read.schema(schema).options(**PLAIN_CSV).option("nullValue", "\x01")
+    return reader.csv(path).select(*schema.fieldNames())
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """Result rows as JSON lines."""
     df.write.mode("append").json(path)

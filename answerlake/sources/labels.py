@@ -132,6 +132,49 @@ def labelled(labels: DataFrame, images: DataFrame, name_column: str | None) -> D
     return named.join(by_place, "place", "left").select("image", "place", label.alias("label"))
 
 
+def expand_answers(table: DataFrame, columns: Sequence[str], forced: Mapping[str, str] | None = None, prefix: str = "q") -> DataFrame:
+    """The table with its answer columns written out, a column per question.
+
+    `columns` are the data columns. Those that look like answers (`answer_columns`) and those forced to a prefix are
+    written out to <prefix>1..n, n being the longest value's length; several of them get a prefix of their own,
+    their name and `_q`. A name that is a column already is refused. What decides is one small aggregate per column.
+    """
+    forced = {plain(c): p for c, p in (forced or {}).items()}
+    found = {r["column"] for r in answer_columns(table, columns).where("is_answer").select("column").collect()}
+    wide = [c for c in columns if c in found or forced.get(plain(c))]
+    if not wide:
+        return table
+    longest = table.agg(*[F.max(F.length(F.rtrim(F.col(c), F.lit("\r\n")))).alias(c) for c in wide]).first()
+    taken, new = set(columns), []
+    for column in wide:
+        own = forced.get(plain(column)) or (f"{plain(column)}_q" if len(wide) > 1 else prefix)
+        names = [f"{own}{i}" for i in range(1, (longest[column] or 0) + 1)]
+        clash = next((n for n in names if n in taken), None)
+        if clash:
+            raise ValueError(f"answer column {column!r} would make {clash}, which is a column already")
+        taken.update(names)
+        chars = F.transform(answer_chars(F.coalesce(F.col(column), F.lit("")), len(names)), lambda a: a["value"])
+        new += [F.get(chars, F.lit(i)).alias(n) for i, n in enumerate(names)]
+    return table.select(*[c for c in table.columns if c not in wide], *new)
+
+
+def read_labels(table: DataFrame, images: DataFrame, forced: Mapping[str, str] | None = None, prefix: str = "q") -> DataFrame:
+    """images(image, place) with a label row each, from an all-text table(place, ..): values trimmed, dropped zeros
+    restored, answer columns written out, matched by file name or by place (`labelled`)."""
+    data = [c for c in table.columns if c != "place"]
+    key = file_column(data)
+    if key is not None and plain(key) in AMBIGUOUS and not hit_rate(table, images, key).first()["names_files"]:
+        key = None
+    data = [c for c in data if c != key]
+    for column in data:
+        table = pad_digits(table, column)
+    table = expand_answers(table, data, forced, prefix)
+    kept = [c for c in table.columns if c in data]
+    table = table.withColumns({c: tx.strip(F.coalesce(F.col(c), F.lit(""))) for c in kept})
+    found = labelled(table, images, key)
+    return found if key is None else found.withColumn("label", F.col("label").dropFields(f"`{key}`"))
+
+
 def match_labels(labels: DataFrame, images: DataFrame, name_column: str) -> DataFrame:
     """images(image, place) with the label row of their name, else of their stem; labels keep
     their first row per name."""

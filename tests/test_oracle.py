@@ -16,7 +16,8 @@ dc_field_summary dc_reader_vote dc_fill_threshold dc_measure ag_page_median rl_v
 rl_review_list jn_external cp_fields cp_decide cp_reconciled cp_audit_export wn_claim_next jn_grid_column
 ag_metrics_values ag_metrics_sheets ag_metrics_bubbles ag_latency ag_label_corr ag_composite_split
 ml_split ml_temperature prj_column_plan rv_apply rv_return src_jsonl src_result_tree src_delimited
-src_label_file snk_csv snk_sql_upsert sm_counts sm_activity_windows""".split()
+src_label_file snk_csv snk_sql_upsert sm_counts sm_activity_windows sm_settle sm_watch rv_undo sc_regrade sc_key_checks
+jn_find_sheet snk_job_csv snk_flat_csv ag_confusion""".split()
 
 
 @pytest.fixture(scope="module")
