@@ -218,14 +218,14 @@ _MERGED = f"""SELECT b.scan_id, b.name, b.pos, COALESCE(e.v, b.value) AS old_val
   FROM f_cells b LEFT JOIN ({_AGAIN}) n ON n.scan_id = b.scan_id AND n.name = b.name LEFT JOIN (SELECT scan_id, name, new_value AS v FROM f_corrections WHERE scan_id % 15 <> 0 AND new_value <> original_value) e ON e.scan_id = b.scan_id AND e.name = b.name"""
 
 
-def _scored(column: str) -> str:
+def _graded_sql(column: str) -> str:
     return _GRADED.format(before="", marks="").replace("f_cells c", f"(SELECT scan_id, name, {column} AS value FROM m WHERE {column} IS NOT NULL) c")
 
 
 @query(
     "sc_regrade",
-    f"""WITH m AS MATERIALIZED ({_MERGED}), o AS (SELECT scan_id, SUM(delta) AS score FROM ({_scored("old_value")}) g GROUP BY 1),
-       n AS (SELECT scan_id, SUM(CASE WHEN question <> 'q2' THEN delta WHEN marked = '' THEN 0 WHEN marked = 'A' THEN 3 ELSE -1 END) AS score FROM ({_scored("new_value")}) g GROUP BY 1),
+    f"""WITH m AS MATERIALIZED ({_MERGED}), o AS (SELECT scan_id, SUM(delta) AS score FROM ({_graded_sql("old_value")}) g GROUP BY 1),
+       n AS (SELECT scan_id, SUM(CASE WHEN question <> 'q2' THEN delta WHEN marked = '' THEN 0 WHEN marked = 'A' THEN 3 ELSE -1 END) AS score FROM ({_graded_sql("new_value")}) g GROUP BY 1),
        k AS (SELECT scan_id, COALESCE(STRING_AGG(name, ',' ORDER BY name) FILTER (edited AND there), '') AS kept, COALESCE(STRING_AGG(name, ',' ORDER BY name) FILTER (edited AND NOT there), '') AS dropped FROM m GROUP BY 1)
        SELECT k.scan_id, o.score AS score_before, n.score AS score_after, kept, dropped FROM k LEFT JOIN o ON o.scan_id = k.scan_id LEFT JOIN n ON n.scan_id = k.scan_id
        WHERE o.score IS DISTINCT FROM n.score OR kept <> '' OR dropped <> ''""",
