@@ -14,6 +14,7 @@ from answerlake.config import local_frame
 from answerlake.functions import text as tx
 from answerlake.functions import values as vl
 from answerlake.operators import ranking
+from answerlake.session import hand_over
 
 MULTI = "*"  # truth: multi-marked, options not recorded
 KINDS_OF_BUBBLES = ("field", "custom")
@@ -202,6 +203,7 @@ def self_check(items: DataFrame) -> DataFrame:
 
 
 PAIRS_HELD = 1 << 20  # pairs of a block, before equal ones are added up
+DENSE_SUMS = 1 << 21  # sums that a task keeps in one array (16 MB); templates with more keep those that occur
 
 
 def label_correlation(
@@ -229,35 +231,51 @@ def label_correlation(
         )
     )
 
+    width = len(labels) * (nt + 1)
+    space = (len(bubbles) + 1) * width
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a sum is known by bubble (-1: any), label and token (-1: any)
-        held, size, sums = [], 0, (np.empty((0, 3), np.int32), np.empty(0, np.int64))
+        # a sum is known by bubble, label and token, as one number; place 0 of bubbles and tokens means any
+        sums = np.zeros(space, np.int64) if space <= DENSE_SUMS else (np.empty(0, np.int64), np.empty(0, np.int64))
         for batch in batches:
-            for marked, entries in zip(batch["bubbles"], batch["labels"]):
-                m = np.array([-1, *(b_index[b] for b in (marked if marked is not None else ()))], np.int32)
-                letters = [(l_index[e["label"]], {t_index[c] for c in e["letters"] if c in t_index}) for e in entries]
-                lt = np.array([(lab, t) for lab, found in letters for t in (-1, *found)], np.int32)
-                held.append(np.column_stack((np.repeat(m, len(lt)), np.tile(lt, (len(m), 1)))))
-                size += len(held[-1])
-                if size > PAIRS_HELD:
-                    held, size, sums = [], 0, added(sums, held)
-        keys, n = added(sums, held)
-        bubble, label, token = keys.T
+            marked = [[0, *(b_index[b] + 1 for b in (m if m is not None else ()))] for m in batch["bubbles"]]
+            given = [
+                [l_index[e["label"]] * (nt + 1) + t for e in entries for t in (0, *{t_index[c] + 1 for c in e["letters"] if c in t_index})]
+                for entries in batch["labels"]
+            ]
+            start = size = 0
+            for at in range(len(marked)):
+                size += len(marked[at]) * len(given[at])
+                if size > PAIRS_HELD or at == len(marked) - 1:
+                    sums = added(sums, pairs(marked[start : at + 1], given[start : at + 1]))
+                    start, size = at + 1, 0
+        codes, n = (np.flatnonzero(sums), sums[sums > 0]) if isinstance(sums, np.ndarray) else sums
+        bubble, label, token = codes // width, codes % width // (nt + 1), codes % (nt + 1)
         yield pd.DataFrame(
             {
-                "bubble": [bubbles[i] if i >= 0 else None for i in bubble],
+                "bubble": [bubbles[i - 1] if i else None for i in bubble],
                 "label": [labels[i] for i in label],
-                "token": [vocabulary[i] if i >= 0 else None for i in token],
+                "token": [vocabulary[i - 1] if i else None for i in token],
                 "n": n,
             }
         )
 
-    def added(sums: tuple, held: list[np.ndarray]) -> tuple:
-        keys = np.concatenate((sums[0], *held))
-        weights = np.concatenate((sums[1], np.ones(len(keys) - len(sums[1]), np.int64)))
-        codes = ((keys[:, 0].astype(np.int64) + 1) * len(labels) + keys[:, 1]) * (nt + 1) + keys[:, 2] + 1
-        found, first, of = np.unique(codes, return_index=True, return_inverse=True)
-        return keys[first], np.bincount(of, weights, len(found)).astype(np.int64)
+    def pairs(marked: list[list[int]], given: list[list[int]]) -> np.ndarray:
+        """The number of every pair of a mark and a label token of the same sheet."""
+        many, most = (np.array([len(x) for x in lists]) for lists in (marked, given))
+        left = np.array([x for m in marked for x in m], np.int64)
+        right = np.array([x for g in given for x in g], np.int64)
+        times = np.repeat(most, many)  # tokens beside each mark
+        first = np.repeat(np.cumsum(most) - most, many)
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+        return np.repeat(left, times) * width + right[place]
+
+    def added(sums, codes: np.ndarray):
+        if isinstance(sums, np.ndarray):
+            return sums + np.bincount(codes, minlength=space)
+        found, of = np.unique(np.concatenate((sums[0], codes)), return_inverse=True)
+        weights = np.concatenate((sums[1], np.ones(len(codes), np.int64)))
+        return found, np.bincount(of, weights, len(found)).astype(np.int64)
 
     found = (
         sheets.select("bubbles", "labels")
@@ -266,6 +284,9 @@ def label_correlation(
         .agg(F.sum("n").cast("double").alias("n"))
     )
 
+    # read four times below, so it is made once
+    found = hand_over(found, "sums")
+
     def counts(where: str, name: str, *keys: str) -> DataFrame:
         return found.where(where).select(*keys, F.col("n").alias(name))
 

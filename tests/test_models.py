@@ -84,7 +84,10 @@ def test_undo_of_one_long_log_is_a_tree(spark):
         assert found == {s: (n, len(u), len(r)) for s, (n, u, r) in want.items()}
 
 
-def test_label_correlation_is_that_of_numpy(spark):
+@pytest.mark.parametrize("dense,held", [(1 << 21, 1 << 20), (0, 7)])
+def test_label_correlation_is_that_of_numpy(spark, monkeypatch, dense, held):
+    monkeypatch.setattr(metrics, "DENSE_SUMS", dense)
+    monkeypatch.setattr(metrics, "PAIRS_HELD", held)
     rng = random.Random(8)
     bubbles, labels, tokens = ["a", "b", "c"], ["x", "y"], ["A", "B", "*"]
     marks = [(s, b) for s in range(60) for b in bubbles[:2] if rng.random() < 0.5]
