@@ -8,6 +8,7 @@ from answerlake.operators import metrics, mlprep, ranking
 from answerlake.plans.derived import OPTIONS, VIEWS, Tables
 from answerlake.plans.index import micros
 from answerlake.plans.registry import query
+from answerlake.sources import labels as label_files
 
 VIEWS["f_truth8"] = "SELECT scan_id, name, expected FROM f_truth UNION ALL SELECT DISTINCT scan_id, 'q8', 'A' FROM f_cells WHERE scan_id % 50 = 0"
 VIEWS["f_items"] = """SELECT t.scan_id, t.name, COALESCE(c.kind, 'missing') AS kind, t.expected, COALESCE(c.value, '') AS got, c.confidence, c.flag,
@@ -435,7 +436,7 @@ def _(t):
        (SELECT regexp_replace(split_part(key, '/', -1), '\\.[^.]+$', '') AS stem, arg_min(value, pos) AS value, MIN(key) AS key FROM f_keys GROUP BY 1) d ON d.stem = regexp_replace(split_part(s.file_name, '/', 2), '\\.[^.]+$', '')""",
 )
 def _(t):
-    return truth_lookup(t)
+    return label_files.lookup_truth(t.scans, truth_keys(t))
 
 
 VIEWS["f_keys"] = r"""SELECT scan_id AS pos, status AS value, CASE scan_id % 4 WHEN 0 THEN file_name WHEN 1 THEN split_part(file_name, '/', 2)
@@ -455,27 +456,6 @@ def truth_keys(t: Tables):
     return t.scans.where("scan_id % 4 < 3").select(F.col("scan_id").alias("pos"), F.col("status").alias("value"), key.alias("key"))
 
 
-def truth_lookup(t: Tables):
-    """Truth by whole id, else bare file name, else stem (its first row)."""
-    from answerlake.functions import text as tx
-
-    keys = truth_keys(t)
-    whole = keys.select(F.col("key").alias("file_name"), F.col("value").alias("v1"))
-    bare = keys.select(F.col("key").alias("_name"), F.col("value").alias("v2"))
-    stems = (
-        keys.groupBy(tx.stem(F.col("key")).alias("_stem")).agg(F.min_by("value", "pos").alias("v3"))
-    )
-    path = F.col("file_name")
-    matched = F.when(F.col("v1").isNotNull(), "id").when(F.col("v2").isNotNull(), "name").when(F.col("v3").isNotNull(), "stem")
-    return (
-        t.scans.select("scan_id", "file_name", tx.base_name(path).alias("_name"), tx.stem(path).alias("_stem"))
-        .join(whole, "file_name", "left")
-        .join(bare, "_name", "left")
-        .join(stems, "_stem", "left")
-        .select("scan_id", F.coalesce("v1", "v2", "v3").alias("value"), matched.alias("matched"))
-    )
-
-
 @query(
     "wn_stem_first",
     r"""SELECT stem, pos, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY stem ORDER BY pos) AS rk FROM (SELECT CONCAT('S', CAST(pos % 500 AS VARCHAR)) AS stem, pos, value FROM f_keys) k) r WHERE rk = 1""",

@@ -64,6 +64,24 @@ def truth_long(table: DataFrame, answers: Mapping[str, tuple[str, int]] | None =
     return table.select(tx.strip(F.col(key)).alias("file_key"), F.inline(F.concat(*cells)))
 
 
+def lookup_truth(scans: DataFrame, keys: DataFrame) -> DataFrame:
+    """Truth of each sheet of scans(scan_id, file_name) from keys(key, pos, value): by the whole id, else by the bare
+    file name, else by the stem. Of equal keys the last counts, of equal stems the first, so a sheet stays one row."""
+    one = keys.groupBy("key").agg(F.max_by("value", "pos").alias("value"))
+    whole = one.select(F.col("key").alias("file_name"), F.struct("value").alias("_whole"))
+    bare = one.select(F.col("key").alias("_name"), F.struct("value").alias("_bare"))
+    stems = keys.groupBy(tx.stem(F.col("key")).alias("_stem")).agg(F.min_by(F.struct("value"), "pos").alias("_first"))
+    path = F.col("file_name")
+    found = [F.when(F.col(c).isNotNull(), F.lit(how)) for c, how in (("_whole", "id"), ("_bare", "name"), ("_first", "stem"))]
+    return (
+        scans.select("scan_id", "file_name", tx.base_name(path).alias("_name"), tx.stem(path).alias("_stem"))
+        .join(whole, "file_name", "left")
+        .join(bare, "_name", "left")
+        .join(stems, "_stem", "left")
+        .select("scan_id", F.coalesce("_whole", "_bare", "_first")["value"].alias("value"), F.coalesce(*found).alias("matched"))
+    )
+
+
 def answer_columns(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Which columns hold one character per question: long values of few distinct letters.
 

@@ -83,3 +83,11 @@ def test_confusion_matrix_has_every_cell(spark):
     rows = spark.createDataFrame([(0, 0), (0, 1), (0, 1), (2, 0)], "target int, predicted int")
     found = {(r["target"], r["predicted"]): r["n"] for r in mlprep.confusion_matrix(rows).collect()}
     assert found == {(t, p): {(0, 0): 1, (0, 1): 2, (2, 0): 1}.get((t, p), 0) for t in (0, 1, 2) for p in (0, 1, 2)}
+
+
+def test_repeated_truth_keys_keep_one_row_per_sheet(spark):
+    scans = spark.createDataFrame([(1, "b/S1.jpg"), (2, "b/S2.jpg"), (3, "b/S3.jpg"), (4, "b/S4.jpg")], "scan_id long, file_name string")
+    rows = [("b/S1.jpg", 1, "old"), ("b/S1.jpg", 2, "new"), ("S2.jpg", 3, "x"), ("S2.jpg", 4, None), ("q/S3.tif", 5, "first"), ("S3.png", 6, "second")]
+    keys = spark.createDataFrame(rows, "key string, pos int, value string")
+    found = {r["scan_id"]: (r["value"], r["matched"]) for r in labels.lookup_truth(scans, keys).collect()}
+    assert found == {1: ("new", "id"), 2: (None, "name"), 3: ("first", "stem"), 4: (None, None)}
