@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ WIDE = 256
 _STEPS = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x1E3779B97F4A7C15)
 #: Share of the pairs at the threshold that may have no band in common.
 MISS = 1e-3
-#: Bytes of shingle sets a task remembers.
-SETS = 32 << 20
+#: Keys of texts a task remembers, to send the shingles of equal texts once.
+REMEMBER = 1 << 18
 #: Pairs a member from which a block is dense.
 DENSE = 8
 
@@ -159,15 +160,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Sorted distinct XXH64 values of the shingles; none for a text without words."""
+    """Sorted distinct XXH64 values of the shingles, hashed a piece at a time; none for a text without words."""
     words = (text or "").encode().translate(LOWER_BYTES).split()
     if not words:
         return np.empty(0, np.uint64)
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    joined, n, width = b" ".join(words), max(1, len(words) - shingle + 1), min(shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist())], np.uint64))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest, parts = xxhash.xxh64_intdigest, []
+    for at in range(0, n, PIECE):
+        to = min(n, at + PIECE)
+        places = zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist())
+        parts.append(np.unique(np.array([digest(joined[s:e], SEED) for s, e in places], np.uint64)))
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
 
 
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -200,7 +205,7 @@ def bands_for(n: int, similarity: float) -> np.ndarray:
 
 
 def _close_pairs(block: np.ndarray, fps: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float, limit: int | None):
-    """Positions (a, b) of one run of equal blocks that may be similar and have different roots, and a mask of the
+    """Positions (a, b) of runs of equal blocks that may be similar and have different roots, and a mask of the
     rows of dense blocks: those with more than `limit` pairs a member send only links that join something."""
     n, far = len(block), _reach(similarity)
     start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
@@ -252,22 +257,26 @@ def _reach(similarity: float) -> int:
 
 
 def _candidates(rows: DataFrame, similarity: float, limit: int | None) -> DataFrame:
-    """Pairs (a, b) of rows (block, id, f0, f1, size, root); with `limit`, also (block, member) of dense blocks."""
+    """Pairs (a, b) of rows (block, id, f0, f1, size, root) and the bits they differ in; with `limit`, also (block,
+    member) of dense blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def found(part: pa.Table) -> pa.RecordBatch:
             block, at, f0, f1, size, root = (c.to_numpy() for c in part.columns)
-            a, b, dense = _close_pairs(block, np.stack((f0, f1), axis=1).view(np.uint64), size, root, similarity, limit)
+            prints = np.stack((f0, f1), axis=1).view(np.uint64)
+            a, b, dense = _close_pairs(block, prints, size, root, similarity, limit)
+            differ = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1).astype(np.int32)
             none = lambda k: pa.nulls(k, pa.int64())
             inside = int(dense.sum())
             columns = [
                 pa.concat_arrays([pa.array(np.minimum(at[a], at[b])), pa.array(at[dense])]),
                 pa.concat_arrays([pa.array(np.maximum(at[a], at[b])), none(inside)]),
                 pa.concat_arrays([none(len(a)), pa.array(block[dense])]),
+                pa.concat_arrays([pa.array(differ), pa.nulls(inside, pa.int32())]),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["a", "b", "block"])
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "block", "differ"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -285,69 +294,75 @@ def _candidates(rows: DataFrame, similarity: float, limit: int | None) -> DataFr
             yield found(pa.Table.from_batches(held))
 
     columns = ("block", "id", "f0", "f1", "size", "root")
-    return rows.select(*columns).repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, "a long, b long, block long")
+    return rows.select(*columns).repartition("block").sortWithinPartitions("block", "id").mapInArrow(
+        run, "a long, b long, block long, differ int"
+    )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough; texts has key and text, equal rows may repeat."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    known = texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    known = hand_over(known, "texts")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough; sets has one row (key, shingles) for every key of a pair."""
     both = (
-        pairs.join(known.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
-        .join(known.select(F.col("key").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+        pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = {}, 0
-
-        def of(key: int, text) -> np.ndarray:
-            nonlocal held
-            found = known.get(key)
-            if found is None:
-                if held > SETS:
-                    known.clear()
-                    held = 0
-                found = known[key] = shingle_set(text.as_py(), shingle)
-                held += found.nbytes + 200
-            return found
-
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = [
-                similarity_of(of(x, left), of(y, right)) >= similarity
-                for x, y, left, right in zip(a, b, batch.column(2), batch.column(3))
+                similarity_of(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) >= similarity
+                for x, y in zip(batch.column(2), batch.column(3))
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, differ) those with the nearest and with the smallest partner of either end: two a key at most."""
+    ways = pairs.select(F.col("a").alias("key"), F.col("b").alias("other"), "differ").union(pairs.select("b", "a", "differ"))
+    best = ways.groupBy("key").agg(F.min(F.struct("differ", "other"))["other"].alias("near"), F.min("other").alias("low"))
+    chosen = best.select("key", F.explode(F.array("near", "low")).alias("other"))
+    return chosen.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
     """doc_id, key (of the text) and root (of its component) of every row: texts whose sets of `shingle` words have a
     Jaccard similarity of at least `similarity` are linked.
 
-    Candidates share a band of wide fingerprints and are close in its first half; each is checked on its text. A
-    dense block first sends links that join something only; its other pairs that are still in
-    different components are checked after these links are known, so no pair of a block is left out.
+    Candidates share a band of wide fingerprints and are close in its first half. The shingles of texts in a pair
+    are written once, and pairs are checked on them: first the nearest partners of every text, then all pairs whose
+    ends are still in different components, so a large group of near copies needs few checks and no pair is left out.
+    A dense block first sends links that join something only; its other pairs come with the second check.
     """
     key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
     halves = [f"f{i}" for i in range(WIDE // 64)]
     kinds = ", ".join(f"{f} long" for f in halves)
-    texts = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task sends size, fingerprint and shingles of equal texts once, with the first; they are null elsewhere."""
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
-            prints = np.array([wide_fingerprint(s) for s in sets], "<u8").reshape(-1, WIDE // 64).view("<i8")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), *map(pa.array, prints.T.copy())],
-                ["doc_id", "key", "size", *halves],
-            )
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets: list[np.ndarray | None] = []
+                for k, text in zip(part.column(1).to_pylist(), part.column(2)):
+                    sets.append(None if k in seen else shingle_set(text.as_py(), shingle))
+                    seen.add(k)
+                if len(seen) > REMEMBER:
+                    seen.clear()
+                new = pa.array([x is None for x in sets])
+                prints = np.array([np.zeros(len(halves), "<u8") if x is None else wide_fingerprint(x) for x in sets], "<u8").view("<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([None if x is None else len(x) for x in sets], pa.int32()),
+                     *[pc.if_else(new, pa.scalar(None, pa.int64()), pa.array(p)) for p in prints.T.copy()],
+                     pa.array([None if x is None else x.astype("<u8").tobytes() for x in sets], pa.binary())],
+                    ["doc_id", "key", "size", *halves, "shingles"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, "text")
-    rows = hand_over(rows.mapInArrow(marks, f"doc_id long, key long, size int, {kinds}"), "fingerprints")
-    classes = hand_over(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", *halves)]), "classes")
+    rows = hand_over(rows.mapInArrow(marks, f"doc_id long, key long, size int, {kinds}, shingles binary"), "fingerprints")
+    firsts = rows.where("size is not null")
+    classes = hand_over(firsts.groupBy("key").agg(*[F.max(c).alias(c) for c in ("size", *halves)]), "classes")
     bands = bands_for(classes.count(), similarity)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,16 +392,28 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ce
         .withColumn("root", F.col("id"))
     )
     found = hand_over(_candidates(dealt, similarity, DENSE), "candidates")
-    links = hand_over(_verified(found.where("b is not null").select("a", "b").distinct(), texts, shingle, similarity), "links")
+    pairs = hand_over(found.where("b is not null").groupBy("a", "b").agg(F.min("differ").alias("differ")), "pairs")
     members = found.where("b is null").select("block", F.col("a").alias("id"))
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(members.select("id")).distinct()
+    sets = firsts.select("key", "shingles").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = hand_over(sets, "sets")
+    links = hand_over(_verified(_nearest(pairs), sets, similarity), "links")
     roots = hand_over(components(links), "roots")
+    left_root, right_root = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    rest = (
+        pairs.join(left_root, "a", "left").join(right_root, "b", "left")
+        .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    )
     if members.head(1):
         left = (
             members.join(classes.withColumnRenamed("key", "id"), "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
             .select("block", "id", "f0", "f1", "size", F.coalesce("root", "id").alias("root"))
         )
-        more = hand_over(_candidates(left, similarity, None).select("a", "b").distinct(), "candidates")
-        roots = components(links.union(_verified(more, texts, shingle, similarity)))
+        rest = rest.union(_candidates(left, similarity, None).select("a", "b")).distinct()
+    rest = hand_over(rest, "rest")
+    if rest.head(1):
+        more = hand_over(_verified(rest, sets, similarity), "links")
+        roots = hand_over(components(links.union(more)), "roots") if more.head(1) else roots
     return rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
@@ -397,16 +424,19 @@ def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("order")
     counts = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")).select("root", order, "n")
     first = counts.groupBy("root").agg(F.min("order").alias("first"))
+    tail = "_" * (1 + max(len(c) for c in docs.columns))  # names that no column of docs has
+    of_id, of_key, mark_id, mark_key = (f"{c}{tail}" for c in ("of", "text", "id", "key"))
     marks = counts.join(first, "root").select(
-        F.col("order.doc_id").alias("__id"), F.col("order.key").alias("__key"), F.col("order").eqNullSafe(F.col("first")).alias("stays"), "n"
+        F.col("order.doc_id").alias(mark_id), F.col("order.key").alias(mark_key),
+        F.col("order").eqNullSafe(F.col("first")).alias(f"stays{tail}"), F.col("n").alias(f"n{tail}"),
     )
-    marks = hand_over(marks.where("not stays or n > 1"), "marks")
-    rows = docs.withColumn("__of", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    marks = hand_over(marks.where(f"not stays{tail} or n{tail} > 1"), "marks")
+    rows = docs.withColumn(of_id, F.col("doc_id").cast("long")).withColumn(of_key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col(of_id).eqNullSafe(F.col(mark_id)) & (F.col(of_key) == F.col(mark_key))
     kept = rows.join(marks, same, "left_anti")
-    again = marks.where("stays")
+    again = marks.where(f"stays{tail}")
     if again.head(1):
-        kept = kept.union(rows.join(again, same, "left_semi").dropDuplicates(["__of", "__text"]))
+        kept = kept.union(rows.join(again, same, "left_semi").dropDuplicates([of_id, of_key]))
     return kept.select(*docs.columns)
 
 
