@@ -12,7 +12,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -299,6 +298,35 @@ def _candidates(rows: DataFrame, similarity: float, limit: int | None) -> DataFr
     )
 
 
+def _unseen(keys: list[int], seen: set[int]) -> list[bool]:
+    """Which keys come for the first time; `seen` is emptied when it has REMEMBER keys, so some may come again."""
+    if len(seen) > REMEMBER:
+        seen.clear()
+    new = []
+    for k in keys:
+        new.append(k not in seen)
+        seen.add(k)
+    return new
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """One row (key, shingles) for every wanted key. Of the equal texts of a task one is shuffled, so a large group
+    of copies is a row a task."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            yield batch.filter(pa.array(_unseen(batch.column(0).to_pylist(), seen), pa.bool_()))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["key", "shingles"])
+
+    some = texts.mapInArrow(once, "key long, text string").join(wanted, "key", "left_semi")
+    return some.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(hashed, "key long, shingles binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough; sets has one row (key, shingles) for every key of a pair."""
     both = (
@@ -339,30 +367,24 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ce
     kinds = ", ".join(f"{f} long" for f in halves)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task sends size, fingerprint and shingles of equal texts once, with the first; they are null elsewhere."""
+        """A task sends size and fingerprint of equal texts once, with the first; they are null elsewhere."""
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets: list[np.ndarray | None] = []
-                for k, text in zip(part.column(1).to_pylist(), part.column(2)):
-                    sets.append(None if k in seen else shingle_set(text.as_py(), shingle))
-                    seen.add(k)
-                if len(seen) > REMEMBER:
-                    seen.clear()
-                new = pa.array([x is None for x in sets])
-                prints = np.array([np.zeros(len(halves), "<u8") if x is None else wide_fingerprint(x) for x in sets], "<u8").view("<i8")
+                new = _unseen(part.column(1).to_pylist(), seen)
+                sets = [shingle_set(t.as_py(), shingle) if n else np.empty(0, np.uint64) for n, t in zip(new, part.column(2))]
+                prints = np.array([wide_fingerprint(x) for x in sets], "<u8").view("<i8")
+                known = pa.array([not n for n in new])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([None if x is None else len(x) for x in sets], pa.int32()),
-                     *[pc.if_else(new, pa.scalar(None, pa.int64()), pa.array(p)) for p in prints.T.copy()],
-                     pa.array([None if x is None else x.astype("<u8").tobytes() for x in sets], pa.binary())],
-                    ["doc_id", "key", "size", *halves, "shingles"],
+                    [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32(), mask=np.array(known)),
+                     *[pa.array(p, mask=np.array(known)) for p in prints.T.copy()]],
+                    ["doc_id", "key", "size", *halves],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, "text")
-    rows = hand_over(rows.mapInArrow(marks, f"doc_id long, key long, size int, {kinds}, shingles binary"), "fingerprints")
-    firsts = rows.where("size is not null")
-    classes = hand_over(firsts.groupBy("key").agg(*[F.max(c).alias(c) for c in ("size", *halves)]), "classes")
+    rows = hand_over(rows.mapInArrow(marks, f"doc_id long, key long, size int, {kinds}"), "fingerprints")
+    classes = hand_over(rows.where("size is not null").groupBy("key").agg(*[F.max(c).alias(c) for c in ("size", *halves)]), "classes")
     bands = bands_for(classes.count(), similarity)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,8 +417,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ce
     pairs = hand_over(found.where("b is not null").groupBy("a", "b").agg(F.min("differ").alias("differ")), "pairs")
     members = found.where("b is null").select("block", F.col("a").alias("id"))
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(members.select("id")).distinct()
-    sets = firsts.select("key", "shingles").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = hand_over(sets, "sets")
+    sets = hand_over(_sets(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), wanted, shingle), "sets")
     links = hand_over(_verified(_nearest(pairs), sets, similarity), "links")
     roots = hand_over(components(links), "roots")
     left_root, right_root = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
