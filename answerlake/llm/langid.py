@@ -27,6 +27,10 @@ from answerlake.llm.common import codes_of, crc_mod, grams_of
 
 #: The models are fitted on at most this many labelled documents of each language, the first by a hash.
 SAMPLE = 400
+#: and on at most so many characters of each, in the same order.
+SAMPLE_CHARACTERS = 8 << 20
+#: Every so many-th of them is not fitted on: the limits of the rejection come from these.
+HOLD = 5
 ORDER = 4
 DISCOUNT = 0.75
 #: Rejected: cost per character above the mean of training documents by so many of their deviations, by
@@ -40,7 +44,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters; numbers like \u00b2 or \u00bd are no letters, though a pattern's word class holds them."""
+    found = _WORD.findall((text or "").lower())
+    if all(w.isalpha() for w in found):
+        return found
+    return "".join(c if c.isalpha() else " " for w in found for c in w + " ").split()
 
 
 class Models:
@@ -50,10 +58,13 @@ class Models:
         self.order = order
         self.languages = sorted({lang for lang, _ in rows})
         counts = {lang: Counter() for lang in self.languages}
-        for lang, text in rows:
-            counts[lang].update(words(text))
+        for at, (lang, text) in enumerate(rows):
+            if at % HOLD or len(rows) < 2 * HOLD:
+                counts[lang].update(words(text))
+        # every language spreads its rest over the same characters: those of all languages, and one for all others
+        self.alphabet = {c for found in counts.values() for w in found for c in w} | {" "}
         tables = [self._fit(counts[lang]) for lang in self.languages]
-        self.keys, self.logs = [], []
+        self.keys, self.logs, self.contexts, self.rests = [], [], [], []
         for n in range(order):
             keys = np.unique(np.concatenate([t[n][0] for t in tables])) if tables else np.empty(0, np.uint64)
             self.keys.append(keys)
@@ -61,14 +72,26 @@ class Models:
         columns = [self._complete(t) for t in tables]
         for n in range(order):
             self.logs.append(np.stack([c[n] for c in columns], axis=1) if columns else np.empty((0, 0)))
+            # the weight of the back-off of every context that any language has, 1 for a language without it
+            contexts = np.unique(np.concatenate([t[n][2] for t in tables])) if tables else np.empty(0, np.uint64)
+            rests = np.zeros((len(contexts), len(tables)))
+            for at, t in enumerate(tables):
+                rests[np.searchsorted(contexts, t[n][2]), at] = t[n][3]
+            self.contexts.append(contexts)
+            self.rests.append(rests)
         self._parents = None
         self.unseen = np.array([t[order] for t in tables])
         self.gap = self.mean = self.spread = None
-        self._calibrate(rows)
+        self._calibrate([r for at, r in enumerate(rows) if at % HOLD == 0 or len(rows) < 2 * HOLD])
 
     def _fit(self, counts: Counter) -> list:
         """Per order: n-gram hashes with (probability, back-off weight of the n-gram as a context)."""
         vocabulary = sorted(counts)
+        kinds_of_all = len(self.alphabet) + 1
+        if not vocabulary:
+            none = np.empty(0, np.uint64), np.empty(0)
+            self._parents = getattr(self, "_parents", [{} for _ in range(self.order)])
+            return [*[(*none, *none)] * self.order, float(-np.log(kinds_of_all))]
         codes, lengths = codes_of(vocabulary)
         weight = np.repeat(np.array([counts[w] for w in vocabulary], float), lengths)
         first = np.zeros(len(codes), bool)
@@ -104,8 +127,8 @@ class Models:
             kinds = np.bincount(of)
             rest = DISCOUNT * kinds / total
             if n == 1:
-                below = np.full(len(keys), 1.0 / (len(keys) + 1))
-                self_unseen = float(np.log(rest[0] / (len(keys) + 1)))
+                below = np.full(len(keys), 1.0 / kinds_of_all)
+                self_unseen = float(np.log(rest[0] / kinds_of_all))
             else:
                 below = np.exp(lower[1][np.searchsorted(lower[0], shorter)])
             p = np.maximum(c - DISCOUNT, 0) / total[of] + rest[of] * below
@@ -128,8 +151,9 @@ class Models:
                 shorter = np.array([s for s, _ in links], np.uint64)
                 context = np.array([x for _, x in links], np.uint64)
                 full = below[np.searchsorted(self.keys[n - 1], shorter)]
-                at = np.minimum(np.searchsorted(groups, context), len(groups) - 1)
-                full = full + np.where(groups[at] == context, rest[at], 0.0)
+                if len(groups):
+                    at = np.minimum(np.searchsorted(groups, context), len(groups) - 1)
+                    full = full + np.where(groups[at] == context, rest[at], 0.0)
             full[np.searchsorted(all_keys, keys)] = logs
             out.append(full)
             below = full
@@ -137,23 +161,36 @@ class Models:
 
     def costs(self, group: list[str]) -> np.ndarray:
         """Negative log probability of each word (with its end) under each language."""
+        lengths = np.array([len(w) + 2 for w in group])
+        return -np.add.reduceat(self.logs_of(group), np.cumsum(lengths) - lengths, axis=0)
+
+    def logs_of(self, group: list[str]) -> np.ndarray:
+        """Log probabilities of every character of the words and of their ends (0 for the boundary before a word).
+
+        Orders go down; where an n-gram is new to all languages, the back-off of its context is paid on the way.
+        """
         codes, lengths = codes_of(group)
-        first = np.cumsum(lengths) - lengths
         todo = np.ones(len(codes), bool)
-        todo[first] = False
+        todo[np.cumsum(lengths) - lengths] = False
         result = np.zeros((len(codes), len(self.languages)))
         grams = list(grams_of(codes, lengths, self.order))
         for n in range(self.order - 1, -1, -1):
             at = np.flatnonzero(todo & (grams[n] != 0))
-            keys = self.keys[n]
+            keys, contexts = self.keys[n], self.contexts[n]
             if not len(at) or not len(keys):
                 continue
             place = np.minimum(np.searchsorted(keys, grams[n][at]), len(keys) - 1)
             hit = keys[place] == grams[n][at]
-            result[at[hit]] = self.logs[n][place[hit]]
+            result[at[hit]] += self.logs[n][place[hit]]
             todo[at[hit]] = False
-        result[todo] = self.unseen
-        return -np.add.reduceat(result, first, axis=0)
+            if n:
+                at = at[~hit]
+                before = grams[n - 1][at - 1]
+                place = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
+                known = contexts[place] == before
+                result[at[known]] += self.rests[n][place[known]]
+        result[todo] += self.unseen
+        return result
 
     def _calibrate(self, rows: list[tuple[str, str]]) -> None:
         found = [(self.languages.index(lang), self.score(Counter(words(text)))) for lang, text in rows]
@@ -185,9 +222,15 @@ def fit(docs: DataFrame, training, sample: int = SAMPLE) -> Models:
     labelled = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("at")
     )
-    first = Window.partitionBy("lang").orderBy("at", "text")
-    chosen = labelled.select("lang", "at", "text").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
-    rows = sorted((r["lang"], r["text"]) for r in chosen.select("lang", "text").toLocalIterator())
+    # keys first, so that a text counts once and no language's texts meet in one task
+    first = Window.partitionBy("lang").orderBy("at")
+    chosen = labelled.select("lang", "at").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
+    texts = labelled.join(F.broadcast(chosen.select("lang", "at")), ["lang", "at"]).select("lang", "at", "text").dropDuplicates(["lang", "at"])
+    rows, size = [], Counter()
+    for r in texts.orderBy("lang", "at").toLocalIterator():
+        size[r["lang"]] += len(r["text"])
+        if size[r["lang"]] <= SAMPLE_CHARACTERS:
+            rows.append((r["lang"], r["text"]))
     return Models(rows)
 
 
