@@ -135,8 +135,11 @@ def encode_words(rows: DataFrame, path: str) -> DataFrame:
     return wordtable.by_word(rows.select("chunk", "number", "word")).mapInArrow(run, wordtable.Replies.SCHEMA)
 
 
-def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
-    """doc_id and ids (array of int) of every document; and the bytes they decode to, where the ids are at hand."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = False, chunk: int = wordtable.CHUNK) -> DataFrame:
+    """doc_id and ids (array of int) of every document; and the bytes they decode to, where the ids are at hand.
+
+    A task holds one chunk of texts of about `chunk` bytes at a time: smaller ones take less memory and send more words.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
     kind = np.uint16 if len(ranks(path)) < 1 << 16 else np.uint32
     rows = wordtable.flagged(docs)
@@ -166,8 +169,8 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
             tables.append(pa.Table.from_arrays([*columns, *([decode_lists(lists, shared.value)] if decoded else [])], schema=out))
         return pa.concat_tables(tables) if tables else out.empty_table()
 
-    encoded = encode_words(wordtable.word_rows(rows, words), path)
-    return wordtable.assemble(encoded, wordtable.sequences(rows, words), arrange, build, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+    encoded = encode_words(wordtable.word_rows(rows, words, chunk), path)
+    return wordtable.assemble(encoded, wordtable.sequences(rows, words, chunk), arrange, build, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def _token_bytes(spark: SparkSession, path: str):
@@ -196,9 +199,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
+def tokenised(docs: DataFrame, chunk: int = wordtable.CHUNK) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the decoded bytes of every document."""
-    return encode(docs, decoded=True).select(
+    return encode(docs, decoded=True, chunk=chunk).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
     )
 

@@ -18,6 +18,8 @@ from answerlake.session import hand_over
 
 #: Bytes of an Arrow batch between Spark and Python; a longer single text is a batch of its own.
 BATCH_BYTES = "8m"
+#: Bytes of text that a task of the last stage puts together at a time; a longer single text is one chunk.
+CHUNK_BYTES = 8 << 20
 
 
 def bounded(spark: SparkSession) -> None:
@@ -52,7 +54,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of the text they decode to."""
     bounded(spark)
-    return bpe.tokenised(docs)
+    return bpe.tokenised(docs, CHUNK_BYTES)
 
 
 STAGES = [
