@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlake.llm import wordtable
-from answerlake.llm.common import in_slices
+from answerlake.llm.common import giving_back, in_slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A cut at a space could split a run of white space that the pattern takes as one match.
@@ -132,7 +132,7 @@ def encode_words(rows: DataFrame, path: str) -> DataFrame:
                 yield replies.batch()
         yield replies.batch()
 
-    return wordtable.by_word(rows.select("chunk", "number", "word")).mapInArrow(run, wordtable.Replies.SCHEMA)
+    return wordtable.by_word(rows.select("chunk", "number", "word")).mapInArrow(giving_back(run), wordtable.Replies.SCHEMA)
 
 
 def encode(docs: DataFrame, path: str | None = None, decoded: bool = False, chunk: int = wordtable.CHUNK) -> DataFrame:
@@ -196,7 +196,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             )
 
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    return encoded.mapInArrow(giving_back(run), f"{schema}, decoded binary")
 
 
 def tokenised(docs: DataFrame, chunk: int = wordtable.CHUNK) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,25 @@ def in_slices(items: list, weights: list[int], limit: int):
         yield items[start:]
 
 
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the system: workers live on in later stages and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """A task function over batches that gives its memory back when it has ended."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 #: A key counts as heavy from this share of all rows on, so that there are at most this many heavy keys.
 HEAVY = 1000
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerlake.llm.common import LOWER_BYTES
+from answerlake.llm.common import LOWER_BYTES, giving_back
 
 #: Words of test items in one automaton: at most twice as many states, about 100 MB in a task.
 BLOCK_WORDS = 200_000
@@ -185,7 +185,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, block_words: in
                 names=schema.names,
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def n_hit():
@@ -226,7 +226,7 @@ def remove(docs: DataFrame, items: DataFrame, window: int = 10, coverage: float
             out[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    cleaned = found.select(*columns, "__spans").mapInArrow(run, docs.schema)
+    cleaned = found.select(*columns, "__spans").mapInArrow(giving_back(run), docs.schema)
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(kind)).select(*columns)

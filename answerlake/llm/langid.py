@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from answerlake.llm.common import codes_of, crc_mod, grams_of
+from answerlake.llm.common import codes_of, crc_mod, giving_back, grams_of
 
 #: The models are fitted on at most this many labelled documents of each language, the first by a hash.
 SAMPLE = 400
@@ -268,7 +268,7 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
             )
 
     schema = StructType(list(docs.schema.fields)).add("__lang", "string").add("__score", "double").add("__rejected", "boolean")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def held_out(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlake.llm.common import in_slices
+from answerlake.llm.common import giving_back, in_slices
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -402,7 +402,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     longs = ", ".join(f"n_{k} long" for k in KINDS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, f"doc_id long, {longs}, base_sha256 string, spans string, n_added long"
+        giving_back(run), f"doc_id long, {longs}, base_sha256 string, spans string, n_added long"
     )
 
 
@@ -429,7 +429,7 @@ def mask(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(giving_back(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
     return out

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlake.llm.common import LOWER_BYTES, components
+from answerlake.llm.common import LOWER_BYTES, components, giving_back
 from answerlake.session import hand_over
 
 SEED = 42
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 def block_masks(distance: int, bits: int = 64) -> list[int]:
@@ -140,7 +140,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, cell: int = CELL) -> Da
 
     return (
         dealt.select("meet", "fp").repartition("meet").sortWithinPartitions("meet", "fp")
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(giving_back(run), "a long, b long")
     )
 
 
@@ -294,7 +294,7 @@ def _candidates(rows: DataFrame, similarity: float, limit: int | None) -> DataFr
 
     columns = ("block", "id", "f0", "f1", "size", "root")
     return rows.select(*columns).repartition("block").sortWithinPartitions("block", "id").mapInArrow(
-        run, "a long, b long, block long, differ int"
+        giving_back(run), "a long, b long, block long, differ int"
     )
 
 
@@ -323,8 +323,8 @@ def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             found = pa.array([shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["key", "shingles"])
 
-    some = texts.mapInArrow(once, "key long, text string").join(wanted, "key", "left_semi")
-    return some.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(hashed, "key long, shingles binary")
+    some = texts.mapInArrow(giving_back(once), "key long, text string").join(wanted, "key", "left_semi")
+    return some.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(giving_back(hashed), "key long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -342,7 +342,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(giving_back(run), "a long, b long")
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -383,7 +383,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ce
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, "text")
-    rows = hand_over(rows.mapInArrow(marks, f"doc_id long, key long, size int, {kinds}"), "fingerprints")
+    rows = hand_over(rows.mapInArrow(giving_back(marks), f"doc_id long, key long, size int, {kinds}"), "fingerprints")
     classes = hand_over(rows.where("size is not null").groupBy("key").agg(*[F.max(c).alias(c) for c in ("size", *halves)]), "classes")
     bands = bands_for(classes.count(), similarity)
 
@@ -403,7 +403,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ce
                     ["band", "id", "f0", "f1", "size"],
                 )
 
-    keyed = classes.select("key", "size", *halves).mapInArrow(banded, "band long, id long, f0 long, f1 long, size int")
+    keyed = classes.select("key", "size", *halves).mapInArrow(giving_back(banded), "band long, id long, f0 long, f1 long, size int")
     large = keyed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > cell)
     large = hand_over(large.select("band", F.ceil(F.col("n") / cell).cast("int").alias("cells")), "large")
     dealt = (

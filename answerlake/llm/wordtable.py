@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from answerlake.llm.common import give_back, giving_back
+
 CHUNK = 32 << 20
 _ROWS = 1 << 15
 #: Numbers packed at a time.
@@ -110,7 +112,7 @@ def word_rows(docs: DataFrame, split: Callable, limit: int = CHUNK) -> DataFrame
                     ["chunk", "number", "word", "n"],
                 )
 
-    return docs.select("doc_id", "flag", "text").mapInArrow(run, "chunk long, number int, word binary, n long")
+    return docs.select("doc_id", "flag", "text").mapInArrow(giving_back(run), "chunk long, number int, word binary, n long")
 
 
 def sequences(docs: DataFrame, split: Callable, limit: int = CHUNK) -> DataFrame:
@@ -125,7 +127,7 @@ def sequences(docs: DataFrame, split: Callable, limit: int = CHUNK) -> DataFrame
             )
 
     return docs.select("doc_id", "flag", "text").mapInArrow(
-        run, "chunk long, ids array<long>, flags array<boolean>, lengths array<int>, codes binary"
+        giving_back(run), "chunk long, ids array<long>, flags array<boolean>, lengths array<int>, codes binary"
     )
 
 
@@ -192,6 +194,7 @@ def assemble(results: DataFrame, texts: DataFrame, arrange: Callable, build: Cal
             if n <= (int(numbers.max()) if len(numbers) else -1):
                 raise ValueError("a chunk has lost words: its input gave other rows when it was read again")
             tables.append(build(left, ids, flags, numbers, starts))
+        give_back()
         return pa.concat_tables(tables) if tables else build(left, [], [], np.empty(0, np.int64), np.zeros(1, np.int64))
 
     return results.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(run, schema)
